@@ -11,9 +11,10 @@ repeated window is lost.
   longer range without being looked up; one sort on (bucket, refined identifier) names the whole stretch of windows
   that share a suffix.  Stretches that occur twice are settled as a whole: all their windows are repeated.
 * Recursion: only buckets that hold several different stretches stay open.  Of each such stretch one member is split
-  further, into single windows, which are sorted once more; members that were settled keep what they have.
+  further, into blocks of `BLOCK` windows (bucket: what all windows of the block share; refined identifier: all they
+  cover), and what is still open then into single windows; members that were settled keep what they have.
 
-Identifiers have 128 bits.  A bucket is never gathered in a task: buckets are counted by two-step aggregation and
+Bucket and refined identifier have 64 bits each and count together.  A bucket is never gathered in a task: buckets are counted by two-step aggregation and
 members learn the outcome by equi-joins on identifiers, whose other side has one row for each identifier.
 """
 
@@ -28,10 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import RangeHash, doc_key, mix64, signed, slices, small_batches, text_bytes
+from larkspur.llm.common import NO_ID, RangeHash, doc_key, mix64, signed, slices, small_batches, text_bytes
 
 #: Bytes of the q-grams that make the initial buckets.
 QGRAM = 96
+#: Windows of a block.
+BLOCK = 24
 
 
 def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
@@ -47,19 +50,19 @@ def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offs: np.ndarray, length: int, q: int) -> dict[str, np.ndarray]:
-    """Windows by the suffix they choose: text number, first and last window start, bucket, refined identifiers."""
+    """Windows by the suffix they choose: text number, first and last window start, the suffix, its bucket, refined identifier."""
     lens = np.diff(offs)
-    empty = {k: np.zeros(0, np.int64) for k in ("row", "first", "last", "bucket", "u1", "u2")}
+    empty = {k: np.zeros(0, np.int64) for k in ("row", "first", "last", "anchor", "bucket", "u")}
     if not (lens >= length).any():
         return empty
     n, width = len(data), length - q + 1
-    lanes = RangeHash(data, 0), RangeHash(data, 1)
+    lane = RangeHash(data)
     at = np.arange(n - q + 1)
-    bucket = lanes[0].of(at, at + q)
+    bucket = lane.of(at, at + q)
     order = mix64(bucket ^ np.uint64(0xA0761D6478BD642F)) & np.uint64(0xFFFFFFFF00000000)
     chosen = sliding_argmin(order | at.astype(np.uint64), width).astype(np.int64)
-    row = np.repeat(np.arange(len(lens)), np.maximum(lens - length + 1, 0))
     n_windows = np.maximum(lens - length + 1, 0)
+    row = np.repeat(np.arange(len(lens)), n_windows)
     window = np.arange(len(row)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + offs[:-1][row]
     pick = chosen[window]
     new = np.ones(len(row), bool)
@@ -69,51 +72,71 @@ def stretches(data: np.ndarray, offs: np.ndarray, length: int, q: int) -> dict[s
     a, b = window[first], window[last]
     base = offs[:-1][row[first]]
     return {
-        "row": row[first], "first": a - base, "last": b - base, "bucket": signed(bucket[pick[first]]),
-        "u1": signed(lanes[0].of(a, b + length)), "u2": signed(lanes[1].of(a, b + length)),
+        "row": row[first], "first": a - base, "last": b - base, "anchor": pick[first] - base,
+        "bucket": signed(bucket[pick[first]]), "u": signed(lane.of(a, b + length)),
     }
 
 
+def blocks(lane: RangeHash, base: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, length: int, size: int) -> dict[str, np.ndarray]:
+    """Stretches cut at multiples of `size` bytes before their anchor, so that equal windows fall into equal blocks."""
+    low, high = (anchor - last) // size, (anchor - first) // size
+    n = high - low + 1
+    of = np.repeat(np.arange(len(first)), n)
+    j = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + low[of]
+    top = anchor[of] - j * size  # last window of the whole block
+    a, b = np.maximum(first[of], top - size + 1), np.minimum(last[of], top)
+    at = base[of]
+    return {"of": of, "first": a, "last": b, "anchor": anchor[of], "bucket": signed(lane.of(at + top, at + top - size + 1 + length)), "u": signed(lane.of(at + a, at + b + length))}
+
+
+ROWS = "_d long, _t long, first int, last int, anchor int, weight int, bucket long, u long"
+
+
+def _rows(d: pa.Array, t: pa.Array, found: dict[str, np.ndarray], weight: np.ndarray) -> pa.RecordBatch:
+    ints = [pa.array(x, pa.int32()) for x in (found["first"], found["last"], found["anchor"], weight)]
+    return pa.RecordBatch.from_arrays(
+        [d, t, *ints, pa.array(found["bucket"], pa.int64()), pa.array(found["u"], pa.int64())], names=[x.split()[0] for x in ROWS.split(", ")]
+    )
+
+
 def _find_stretches(length: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 data, offs = text_bytes(part.column("_text"))
                 found = stretches(data, offs, length, q)
-                row = found["row"]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_d").take(pa.array(row)), part.column("_t").take(pa.array(row)), pa.array(found["first"], pa.int32()), pa.array(found["last"], pa.int32())]
-                    + [pa.array(found[k], pa.int64()) for k in ("bucket", "u1", "u2")],
-                    names=["_d", "_t", "first", "last", "bucket", "u1", "u2"],
-                )
+                row = pa.array(found["row"])
+                yield _rows(part.column("_d").take(row), part.column("_t").take(row), found, np.ones(len(row), np.int32))
 
     return run
 
 
-def _find_windows(length: int):
-    """Identifiers of the single windows of the stretches in column `open` (first, last, weight)."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are moved compressed."""
+    for batch in batches:
+        codec = pa.Codec("zstd", compression_level=3)
+        packed = [codec.compress(x.as_py() or b"", asbytes=True) for x in batch.column("_text").cast(pa.binary())]
+        sizes = pc.fill_null(pc.binary_length(batch.column("_text").cast(pa.binary())), 0)
+        yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_t"), sizes.cast(pa.int64()), pa.array(packed, pa.binary())], names=["_d", "_t", "_size", "_packed"])
+
+
+def _unpack(batch: pa.RecordBatch) -> list[bytes]:
+    codec = pa.Codec("zstd")
+    return [codec.decompress(x.as_py(), n.as_py(), asbytes=True) if n.as_py() else b"" for x, n in zip(batch.column("_packed"), batch.column("_size"), strict=True)]
+
+
+def _find_blocks(length: int, size: int):
+    """Blocks of the stretches in column `open` (first, last, anchor, weight)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                data, offs = text_bytes(part.column("_text"))
-                lanes = RangeHash(data, 0), RangeHash(data, 1)
-                lists = part.column("open")
-                flat, n_open = lists.flatten(), np.asarray(pc.list_value_length(lists))
-                first, last, weight = (np.asarray(flat.field(k), dtype=np.int64) for k in range(3))
-                n = last - first + 1
-                of = np.repeat(np.arange(len(first)), n)
-                row = np.repeat(np.arange(len(n_open)), n_open)[of]
-                start = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
-                at = start + offs[:-1][row]
-                step = 1 << 18
-                for k in range(0, len(at), step):
-                    r, a = pa.array(row[k : k + step]), at[k : k + step]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("_d").take(r), part.column("_t").take(r), pa.array(start[k : k + step], pa.int32()), pa.array(weight[of[k : k + step]], pa.int32())]
-                        + [pa.array(signed(lane.of(a, a + length)), pa.int64()) for lane in lanes],
-                        names=["_d", "_t", "start", "weight", "k1", "k2"],
-                    )
+            for i, text in enumerate(_unpack(batch)):
+                lane = RangeHash(np.frombuffer(text, np.uint8))
+                flat = batch.column("open").slice(i, 1).flatten()
+                first, last, anchor, weight = (np.asarray(flat.field(k), dtype=np.int64) for k in range(4))
+                found = blocks(lane, np.zeros(len(first), np.int64), first, last, anchor, length, size)
+                row = pa.array(np.full(len(found["of"]), i))
+                yield _rows(batch.column("_d").take(row), batch.column("_t").take(row), found, weight[found["of"]])
 
     return run
 
@@ -131,10 +154,8 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").cast(pa.binary())
             rows = []
-            for text, found in zip(texts, batch.column("found"), strict=True):
-                raw = text.as_py() or b""
+            for raw, found in zip(_unpack(batch), batch.column("found"), strict=True):
                 spans = merge_spans([(x["a"], x["b"] + length) for x in found.as_py() or ()])
                 kept, at = [], 0
                 for a, b in spans:
@@ -145,8 +166,8 @@ def _cut(length: int):
                 rows.append((len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in spans], kept, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], SPANS), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.string())],
-                names=["_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"],
+                [batch.column("_d"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], SPANS), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.string())],
+                names=["_d", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"],
             )
 
     return run
@@ -166,42 +187,37 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if not 0 < q <= length:
         raise ValueError("q must be between 1 and length")
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("_id"), *doc_key(id_col, text_col), F.col(text_col).alias("_text"))
-    found = base.filter(F.octet_length("_text") >= length).select("_d", "_t", "_text").mapInArrow(
-        _find_stretches(length, q), "_d long, _t long, first int, last int, bucket long, u1 long, u2 long"
-    )
-    # initial buckets, and in each the different stretches with one member as their representative
-    classes = found.groupBy("bucket", "u1", "u2").agg(
-        F.count("*").alias("n"), F.min(F.struct("_d", "_t", "first", "last")).alias("member")
-    )
-    split = classes.groupBy("bucket").agg(F.count("*").alias("stretches")).filter("stretches > 1").select("bucket")
-    # settled as a whole
-    repeated = classes.filter("n > 1").select("u1", "u2")
-    whole = found.select("_d", "_t", "first", "last", "u1", "u2").join(repeated, ["u1", "u2"], "left_semi")
-    # open: one member of each different stretch, window by window
-    opened = (
-        classes.join(split, "bucket", "left_semi")
-        .select("member.*", F.least("n", F.lit(2)).cast("int").alias("weight"))
-        .groupBy("_d", "_t")
-        .agg(F.collect_list(F.struct("first", "last", "weight")).alias("open"))
-    )
-    windows = base.select("_d", "_t", "_text").dropDuplicates(["_d", "_t"]).join(opened, ["_d", "_t"]).mapInArrow(
-        _find_windows(length), "_d long, _t long, start int, weight int, k1 long, k2 long"
-    )
-    again = windows.groupBy("k1", "k2").agg(F.sum("weight").alias("n")).filter("n > 1").select("k1", "k2")
-    single = windows.filter("weight = 1").join(again, ["k1", "k2"], "left_semi")
-    spans = (
-        whole.select("_d", "_t", F.col("first").alias("a"), F.col("last").alias("b"))
-        .unionByName(single.select("_d", "_t", F.col("start").alias("a"), F.col("start").alias("b")))
-        .groupBy("_d", "_t")
-        .agg(F.collect_list(F.struct("a", "b")).alias("found"))
-    )
-    return (
-        base.join(spans, ["_d", "_t"], "left")
-        .select("_id", "_text", "found")
-        .mapInArrow(
-            _cut(length),
-            "_id " + docs.schema[id_col].dataType.simpleString() + ", n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary, kept_sha256 string",
-        )
-        .withColumnRenamed("_id", id_col)
+    base = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("_text"))
+    key = ["_d", "_t"]
+    # texts move once, compressed; every join below reuses that exchange
+    spread = base.mapInArrow(_pack, "_d long, _t long, _size long, _packed binary").repartition(*key)
+
+    def split(rows: DataFrame, size: int) -> DataFrame:
+        lists = rows.groupBy(*key).agg(F.collect_list(F.struct("first", "last", "anchor", "weight")).alias("open"))
+        return spread.join(lists, key).mapInArrow(_find_blocks(length, size), ROWS)
+
+    found = base.filter(F.octet_length("_text") >= length).mapInArrow(_find_stretches(length, q), ROWS)
+    whole, opened = _settle(found)
+    some, opened = _settle(split(opened, BLOCK))
+    single, _ = _settle(split(opened, 1))
+    spans = whole.unionByName(some).unionByName(single).groupBy(*key).agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    out = spread.join(spans, key, "left").mapInArrow(
+        _cut(length), "_d long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary, kept_sha256 string"
     )
+    return out.select(F.nullif("_d", F.lit(NO_ID)).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "spans", "kept", "kept_sha256")
+
+
+def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One refinement: (stretches that are repeated as a whole, one member of each stretch that is still open).
+
+    A weight of 2 marks a member that stands for a stretch found repeated before: it counts twice, and is not reported.
+    """
+    name, key = ["bucket", "u"], ["_d", "_t"]
+    named = rows.groupBy(*name).agg(F.sum("weight").alias("n"))
+    crowded = named.groupBy("bucket").agg(F.count("*").alias("stretches")).filter("stretches > 1").select("bucket", F.lit(True).alias("open"))
+    state = named.join(crowded, "bucket", "left").select(*name, "n", F.coalesce("open", F.lit(False)).alias("open")).filter("n > 1 or open")
+    marked = rows.join(state, name)
+    whole = marked.filter("n > 1 and weight = 1").select(*key, F.col("first").alias("a"), F.col("last").alias("b"))
+    alone = marked.filter("open and n = 1").select(*key, "first", "last", "anchor", "weight")
+    among = marked.filter("open and n > 1").groupBy(*name).agg(F.min(F.struct(*key, "first", "last", "anchor")).alias("m")).select("m.*", F.lit(2).alias("weight"))
+    return whole, alone.unionByName(among)
