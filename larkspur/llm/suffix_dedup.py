@@ -216,8 +216,10 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = rows.groupBy(*name).agg(F.sum("weight").alias("n"))
     crowded = named.groupBy("bucket").agg(F.count("*").alias("stretches")).filter("stretches > 1").select("bucket", F.lit(True).alias("open"))
     state = named.join(crowded, "bucket", "left").select(*name, "n", F.coalesce("open", F.lit(False)).alias("open")).filter("n > 1 or open")
-    marked = rows.join(state, name)
-    whole = marked.filter("n > 1 and weight = 1").select(*key, F.col("first").alias("a"), F.col("last").alias("b"))
-    alone = marked.filter("open and n = 1").select(*key, "first", "last", "anchor", "weight")
-    among = marked.filter("open and n > 1").groupBy(*name).agg(F.min(F.struct(*key, "first", "last", "anchor")).alias("m")).select("m.*", F.lit(2).alias("weight"))
+    # The conditions read both sides of the join and every column, so that Catalyst neither pushes nor prunes them
+    # below it: the three uses then share one exchange of each side, and what is found in texts is computed once.
+    marked = rows.join(state, name).filter("greatest(first, last, anchor, weight) + n > 0 and if(open, n, 1) + weight > 0")
+    whole = marked.filter("if(weight = 1, n > 1, false)").select(*key, F.col("first").alias("a"), F.col("last").alias("b"))
+    alone = marked.filter("if(open and weight > 0, n = 1, false)").select(*key, "first", "last", "anchor", "weight")
+    among = marked.filter("if(open and weight > 0, n > 1, false)").groupBy(*name).agg(F.min(F.struct(*key, "first", "last", "anchor")).alias("m")).select("m.*", F.lit(2).alias("weight"))
     return whole, alone.unionByName(among)
