@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets the driver notice which shuffle files nothing refers to any more; else they stay until its memory fills."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Workspace:
     """Written tables of one run in the shared folder; they go when the driver ends or drop() is called."""
 
@@ -63,6 +70,7 @@ class Workspace:
         out = f"{self.path}/t{self._n}"
         writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(out)
+        release_shuffles(self.spark)
         return self.spark.read.schema(df.schema).parquet(out)
 
     def drop(self) -> None:

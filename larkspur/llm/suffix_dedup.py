@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import NO_ID, RangeHash, doc_key, mix64, signed, slices, small_batches, text_bytes
+from larkspur.llm.common import NO_ID, RangeHash, Workspace, doc_key, mix64, signed, slices, small_batches, text_bytes
 
 #: Bytes of the q-grams that make the initial buckets.
 QGRAM = 96
@@ -176,7 +176,7 @@ def _cut(length: int):
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, q: int = QGRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, q: int = QGRAM, workspace: Workspace | None = None) -> DataFrame:
     """Removes bytes covered by a `length`-byte string that also starts elsewhere in the table, same text included.
 
     Returns id, n_bytes, n_removed, spans (array of start, end in bytes, maximal), kept (binary), kept_sha256.
@@ -187,19 +187,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if not 0 < q <= length:
         raise ValueError("q must be between 1 and length")
     small_batches(docs.sparkSession)
+    workspace = workspace or Workspace(docs.sparkSession, "suffix")
     base = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("_text"))
     key = ["_d", "_t"]
-    # texts move once, compressed; every join below reuses that exchange
-    spread = base.mapInArrow(_pack, "_d long, _t long, _size long, _packed binary").repartition(*key)
-
-    def split(rows: DataFrame, size: int) -> DataFrame:
-        lists = rows.groupBy(*key).agg(F.collect_list(F.struct("first", "last", "anchor", "weight")).alias("open"))
-        return spread.join(lists, key).mapInArrow(_find_blocks(length, size), ROWS)
+    spread = base.mapInArrow(_pack, "_d long, _t long, _size long, _packed binary")  # texts move compressed
+    lists = lambda rows: rows.groupBy(*key).agg(F.collect_list(F.struct("first", "last", "anchor", "weight")).alias("open"))
 
     found = base.filter(F.octet_length("_text") >= length).mapInArrow(_find_stretches(length, q), ROWS)
-    whole, opened = _settle(found)
-    some, opened = _settle(split(opened, BLOCK))
-    single, _ = _settle(split(opened, 1))
+    whole, opened = _settle(found, workspace)
+    texts = workspace.store(spread.join(lists(opened), key))
+    some, opened = _settle(texts.mapInArrow(_find_blocks(length, BLOCK), ROWS), workspace)
+    single, _ = _settle(texts.drop("open").join(lists(opened), key).mapInArrow(_find_blocks(length, 1), ROWS), workspace)
     spans = whole.unionByName(some).unionByName(single).groupBy(*key).agg(F.collect_list(F.struct("a", "b")).alias("found"))
     out = spread.join(spans, key, "left").mapInArrow(
         _cut(length), "_d long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary, kept_sha256 string"
@@ -207,19 +205,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return out.select(F.nullif("_d", F.lit(NO_ID)).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "spans", "kept", "kept_sha256")
 
 
-def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _settle(rows: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
     """One refinement: (stretches that are repeated as a whole, one member of each stretch that is still open).
 
     A weight of 2 marks a member that stands for a stretch found repeated before: it counts twice, and is not reported.
+    What texts yield and what is left of it are written down, so that each is computed once.
     """
     name, key = ["bucket", "u"], ["_d", "_t"]
+    rows = workspace.store(rows)
     named = rows.groupBy(*name).agg(F.sum("weight").alias("n"))
     crowded = named.groupBy("bucket").agg(F.count("*").alias("stretches")).filter("stretches > 1").select("bucket", F.lit(True).alias("open"))
     state = named.join(crowded, "bucket", "left").select(*name, "n", F.coalesce("open", F.lit(False)).alias("open")).filter("n > 1 or open")
-    # The conditions read both sides of the join and every column, so that Catalyst neither pushes nor prunes them
-    # below it: the three uses then share one exchange of each side, and what is found in texts is computed once.
-    marked = rows.join(state, name).filter("greatest(first, last, anchor, weight) + n > 0 and if(open, n, 1) + weight > 0")
-    whole = marked.filter("if(weight = 1, n > 1, false)").select(*key, F.col("first").alias("a"), F.col("last").alias("b"))
-    alone = marked.filter("if(open and weight > 0, n = 1, false)").select(*key, "first", "last", "anchor", "weight")
-    among = marked.filter("if(open and weight > 0, n > 1, false)").groupBy(*name).agg(F.min(F.struct(*key, "first", "last", "anchor")).alias("m")).select("m.*", F.lit(2).alias("weight"))
+    marked = workspace.store(rows.join(state, name))
+    whole = marked.filter("n > 1 and weight = 1").select(*key, F.col("first").alias("a"), F.col("last").alias("b"))
+    alone = marked.filter("open and n = 1").select(*key, "first", "last", "anchor", "weight")
+    among = marked.filter("open and n > 1").groupBy(*name).agg(F.min(F.struct(*key, "first", "last", "anchor")).alias("m")).select("m.*", F.lit(2).alias("weight"))
     return whole, alone.unionByName(among)
