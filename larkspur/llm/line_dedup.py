@@ -120,11 +120,13 @@ def dedup_lines(
     min_chars: int = 20,
     min_docs: int = 3,
     batches: int = BATCHES,
+    carry: list[str] | None = None,
     workspace: Workspace | None = None,
 ) -> DataFrame:
     """Drops lines whose key (``line_key``) has `min_chars` code points and occurs in `min_docs` documents.
 
-    The largest id that holds a key keeps all its lines of that key.  Returns id, n_lines, n_dropped and kept (text).
+    The largest id that holds a key keeps all its lines of that key.  Returns id, n_lines, n_dropped, kept (text) and the
+    columns in `carry`.
 
     Null or empty text: one empty line, kept.  Rows that repeat an id count as one document but each gets a row of the
     result.  A null id takes part as one document that is smaller than all others.  Empty table: empty result.
@@ -132,7 +134,7 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     workspace = workspace or Workspace(spark, "lines")
-    base = docs.select(F.col(id_col).alias("_id"), *doc_key(id_col, text_col), F.col(text_col).alias("_text"))
+    base = docs.select(F.col(id_col).alias("_id"), *doc_key(id_col, text_col), F.col(text_col).alias("_text"), F.struct(*(carry or []), F.lit(0)).alias("_carry"))
 
     keys = F.transform(text_lines(F.col("_text")), line_key)
     hashes = F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), key_hash))
@@ -157,12 +159,13 @@ def dedup_lines(
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: (F.length(line_key(x)) < min_chars) | is_kept(x)))
     return (
         base.join(drops, "_d", "left")
-        .select("_id", all_lines.alias("_lines"), "_drop")
-        .select("_id", F.size("_lines").cast("long").alias("n_lines"), kept.alias("_kept"))
+        .select("_id", all_lines.alias("_lines"), "_drop", "_carry")
+        .select("_id", F.size("_lines").cast("long").alias("n_lines"), kept.alias("_kept"), "_carry")
         .select(
             F.col("_id").alias(id_col),
             "n_lines",
             (F.col("n_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
             F.array_join("_kept", "\n").alias("kept"),
+            *(F.col("_carry")[c].alias(c) for c in carry or []),
         )
     )
