@@ -118,7 +118,7 @@ def profile_text_in_order(df: DataFrame, column: str, order: str) -> DataFrame:
     nulls = rows.agg(F.count_if(F.col("v").isNull()).alias("missing"))
     return out.crossJoin(F.broadcast(nulls)).select(  # one row each
         F.lit(column).alias("name"), "non_missing", "missing",
-        F.coalesce(F.when("high", F.col("at")).otherwise(F.col("all")), F.lit(0)).alias("distinct"), F.coalesce("high", F.lit(False)).alias("high_cardinality"),
+        F.coalesce(F.when(F.col("high"), F.col("at")).otherwise(F.col("all")), F.lit(0)).alias("distinct"), F.coalesce("high", F.lit(False)).alias("high_cardinality"),
     )
 
 
@@ -150,4 +150,4 @@ def missing_policy(df: DataFrame, tag_columns: dict[str, str]) -> DataFrame:
 
 
 def status_counts(df: DataFrame, group: str, status: str, values: list[str]) -> DataFrame:
-    return df.groupBy(group).pivot(status, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(group).pivot(status, values).agg(F.count(F.lit(1))).na.fill(0)

@@ -29,6 +29,16 @@ KIND_TYPES = {"character": T.StringType(), "double": T.DoubleType(), "date": T.D
 PARTITION_BYTES, BATCH_ROWS = 64 << 20, 65_536
 
 
+class Options(dict):
+    """Options by name, in any case."""
+
+    def __init__(self, given: dict):
+        super().__init__({k.lower(): v for k, v in given.items()})
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
 def _flag(options: dict, name: str, default: bool) -> bool:
     return str(options.get(name, default)).strip().lower() in ("true", "1", "yes")
 
@@ -78,7 +88,7 @@ class Pages(InputPartition):
 class TableReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.names = [f.name for f in schema.fields]
-        self.options = dict(options)
+        self.options = Options(options)
         self.paths = _paths(options, TABLE_EXT)
 
     def partitions(self) -> list[InputPartition]:
@@ -239,7 +249,7 @@ def read_table_bytes(files: DataFrame, schema: T.StructType, **options) -> DataF
     """Tables held in a binary column `content` (as of Spark's binaryFile source), from any store Spark reads."""
     from larkspur.sources.files import memory
 
-    names, opts = [f.name for f in schema.fields], {k: str(v) for k, v in options.items()}
+    names, opts = [f.name for f in schema.fields], Options({k: str(v) for k, v in options.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
