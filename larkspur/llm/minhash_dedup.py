@@ -1,11 +1,12 @@
 """Near-duplicates by MinHash banding, verification on full shingle sets, and large-star/small-star components.
 
 Texts with the same shingle set are one class; only one representative of each class goes further.  Every class has
-`bands` x `rows` universal hash minima; classes that agree on a whole band share a bucket.  Within a bucket nothing is
-paired with everything: a pivot is linked with the others, what the links connect is merged, and only members that are
-still in different components meet in the next round, with new pivots (twice as many each round).  A round drops its
-pivots from the bucket, as each has met all others it could still connect to.  The rounds end when no bucket holds two
-components, so no link between different texts is lost to the choice of pivots.
+`bands` x `rows` universal hash minima; classes that agree on a whole band share a bucket.  A bucket is only a star of
+links to its smallest member, never pairs; components of these stars (by large-star and small-star) are clusters, within
+which all links lie.  A cluster is verified where its members meet: in one task if it is small, else dealt in blocks of
+about `BLOCK` members, each pair of blocks a task of its own.  A task screens pairs by their signatures, confirms them on
+full sets, skips those that its links have connected already, and returns a spanning forest, so neither pairs nor links
+are emitted.  Components of the confirmed links are the result.
 
 With 32 bands of 5 rows a pair of similarity 0.8 shares no bucket with probability 3e-6.
 """
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import LOWER, UPPER, RangeHash, Workspace, mix64, signed, slices, small_batches, text_bytes
 
 BANDS, ROWS = 32, 5
-#: Signatures that agree in less than this share of minima are no link of similarity 0.8 (ten standard errors below).
-SIGNATURE_SLACK = 0.3
+#: Pairs whose signatures agree in so much less than the similarity are no link: five standard errors of 160 minima.
+SIGNATURE_SLACK = 0.16
+#: Members of a block of a cluster.
+BLOCK = 256
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[np.frombuffer(UPPER.encode(), np.uint8)] = np.frombuffer(LOWER.encode(), np.uint8)
@@ -123,32 +126,54 @@ def _describe(k: int, bands: int, rows: int):
     return run
 
 
-def _agree(slack: float, threshold: float):
-    """Pairs whose signatures don't rule out a link."""
+def spanning_links(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that connect what all links would connect.  side: 0 or 1; pairs are of different sides if both occur.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.stack([np.frombuffer(x.as_py(), np.uint8) for x in batch.column(c)]) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= threshold - slack))
+    A link has share[1] * |intersection| >= share[0] * |union|.  Likely pairs come first, so that most others are skipped.
+    """
+    n, least = len(sets), share[0] / share[1]
+    size = np.array([len(x) for x in sets])
+    parent = list(range(n))
 
-    return run
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
 
+    two, out, pairs = side.any() and not side.all(), [], []
+    for i in range(n):
+        others = np.arange(i + 1, n)
+        if two:
+            others = others[side[others] != side[i]]
+        others = others[np.minimum(size[others], size[i]) >= least * np.maximum(size[others], size[i]) - 1e-9]
+        if len(others):
+            alike = (sigs[others] == sigs[i]).mean(axis=1)
+            good = alike >= least - SIGNATURE_SLACK
+            pairs.append((alike[good], np.full(int(good.sum()), i), others[good]))
+    if not pairs:
+        return []
+    alike, left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    for k in np.argsort(-alike, kind="stable").tolist():
+        i, j = int(left[k]), int(right[k])
+        a, b = root(i), root(j)
+        if a == b:
+            continue
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if both and share[1] * both >= share[0] * (int(size[i]) + int(size[j]) - both):
+            parent[a] = b
+            out.append((i, j))
+    return out
 
-def _verify(k: int, share: tuple[int, int]):
-    """Pairs with share[1] * |intersection| >= share[0] * |union| on full sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text_b"):
-                (xs, xo), (ys, yo) = shingle_sets(part.column("text_a"), k), shingle_sets(part.column("text_b"), k)
-                linked = []
-                for i in range(part.num_rows):
-                    x, y = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(bool(both) and share[1] * both >= share[0] * (len(x) + len(y) - both))
-                yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+def _verify(k: int, share: tuple[int, int]):
+    def run(group: pa.Table) -> pa.Table:
+        ids = group.column("node").to_pylist()
+        texts, offs = shingle_sets(group.column("_text"), k)
+        sets = [texts[offs[i] : offs[i + 1]] for i in range(len(ids))]
+        sigs = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in group.column("sig")])
+        links = spanning_links(sets, sigs, group.column("side").to_numpy(), share)
+        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
     return run
 
@@ -213,66 +238,29 @@ def near_duplicates(
     filled = sets.filter("_id is not null and n_shingles > 0")
     classes = workspace.store(filled.groupBy("n_shingles", "d1", "d2").agg(F.min("_id").alias("rep")))
     reps = filled.join(classes.select(F.col("rep").alias("_id"), "n_shingles", "d1", "d2"), ["_id", "n_shingles", "d1", "d2"], "left_semi")
-    members = reps.select("_id", F.posexplode("bands").alias("band", "h")).distinct()
-    crowded = members.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1").select("band", "h")
-    open_ = workspace.store(members.join(crowded, ["band", "h"], "left_semi").select("band", "h", F.col("_id").alias("node"), F.col("_id").alias("comp")))
-    texts = base.filter("_id is not null")
-    sigs = reps.select("_id", "sig")
-    labels: DataFrame | None = None  # node, comp: of nodes that any link has reached
-    done = 0
-    while open_.limit(1).count():
-        pivots = _pivots(open_, 1 << done)
-        pairs = (
-            open_.join(pivots, ["band", "h"])
-            .filter("comp <> pivot_comp")
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            .distinct()
-        )
-        links = workspace.store(_links(pairs, sigs, texts, shingle, similarity))
-        labels = _relabel(labels, links, workspace)
-        rest = open_.join(pivots.select("band", "h", F.col("pivot").alias("node")), ["band", "h", "node"], "left_anti").drop("comp")
-        rest = rest.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = rest.groupBy("band", "h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band", "h")
-        open_ = workspace.store(rest.join(mixed, ["band", "h"], "left_semi"))
-        done += 1
+    members = reps.select("_id", F.posexplode("bands").alias("band", "h"))
+    lowest = members.groupBy("band", "h").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).filter("low < high")
+    stars = members.join(lowest, ["band", "h"]).select(F.col("_id").alias("a"), F.col("low").alias("b"))
+    clusters = components(stars, workspace).withColumnRenamed("component", "cluster")
+    links = _links(clusters, reps.select(F.col("_id").alias("node"), "sig"), base, workspace, shingle, similarity)
+    labels = components(links, workspace).withColumnRenamed("component", "comp")
     out = sets.select("_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left")
-    found = F.col("rep")
-    if labels is not None:
-        out = out.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-        found = F.coalesce("comp", "rep")
+    out = out.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
+    found = F.coalesce("comp", "rep")
     component = F.when(F.col("n_shingles") > 0, found).otherwise(F.col("_id"))
     out = out.select("_id", "n_shingles", F.when(F.col("_id").isNotNull(), component).alias("component_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _pivots(open_: DataFrame, most: int) -> DataFrame:
-    """Up to `most` members of each bucket, those of its rarest components first: band, h, pivot, pivot_comp."""
-    count = open_.groupBy("band", "h", "comp").agg(F.count("*").alias("n"))
-    with_n = open_.join(count, ["band", "h", "comp"])
-    return (
-        with_n.groupBy("band", "h", F.pmod(F.xxhash64("node"), F.lit(most)).alias("salt"))
-        .agg(F.min(F.struct("n", "node", "comp")).alias("p"))
-        .select("band", "h", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
-    )
-
-
-def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    likely = (
-        pairs.join(sigs.select(F.col("_id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sigs.select(F.col("_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_agree(SIGNATURE_SLACK, similarity[0] / similarity[1]), "a long, b long")
-    )
-    return (
-        likely.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a")), "a")
-        .join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_verify(shingle, similarity), "a long, b long")
+def _links(clusters: DataFrame, sigs: DataFrame, base: DataFrame, workspace: Workspace, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """Confirmed links (a, b) of each cluster, a spanning forest of each task."""
+    size = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = clusters.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = workspace.store(placed.join(sigs, "node").dropDuplicates(["node"]))
+    texts = base.filter("_id is not null").select(F.col("_id").alias("node"), "_text")
+    dealt = (
+        placed.join(texts, "node")
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sig", "_text", (F.col("own") > F.col("other")).cast("int").alias("side"))
     )
-
-
-def _relabel(labels: DataFrame | None, links: DataFrame, workspace: Workspace) -> DataFrame:
-    """Components after the new links; old components are joined to them as stars, so nothing grows with the rounds."""
-    if labels is not None:
-        links = links.unionByName(labels.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
-    return workspace.store(components(links, workspace).select("node", F.col("component").alias("comp")))
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(_verify(shingle, similarity), "a long, b long")
