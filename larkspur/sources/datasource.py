@@ -119,7 +119,7 @@ class TableReader(DataSourceReader):
 
 def decode_pages(layout: Layout, read, pages: list, names: list[str], options: dict, path: str = "") -> Iterator[pa.RecordBatch]:
     """Batches of the columns `names` of a table's pages; companion columns by their names."""
-    h = layout.header
+    h, options = layout.header, Options(options)
     skip, most = int(options.get("skipRows", 0)), int(options.get("maxRows", -1))
     end = layout.row_count if most < 0 else skip + most
     decoder = ColumnDecoder(
