@@ -7,12 +7,15 @@ it quotes nothing that is known.  Deeper levels are linked too, but don't decide
 
 Replies form branches: a message continues its parent's branch if it is the parent's first reply, and begins one of its
 own otherwise.  Ordered by (branch, turn), every message comes after the one it answers and branches stay together.
-All steps are DataFrame operations; depth and branch come from pointer doubling, so a conversation of any length takes
-logarithmically many joins and is never gathered.
+Depth and branch are followed in one sorted pass inside blocks of ``TURNS`` turns, and from block to block by pointer
+doubling over the messages that other blocks answer.  A conversation of any length is never gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from larkspur.llm.common import Workspace, release_shuffles
 
 #: A quoted line is linked if its normal form has so many characters.
 LEAST = 8
-#: Turns of a block within which the previous turn is looked up by a window.
+#: Turns of a block, within which previous turns and chains of parents are looked up.
 TURNS = 256
 QUOTE = r"^(?:[ \t]{0,3}>)+[ \t]?"
 #: A line that introduces a quote ("On ... X wrote:").  Dropped with the quote that follows it.
@@ -94,15 +97,46 @@ def _previous(turns: DataFrame) -> DataFrame:
     return inside.join(ends, ["_c", "b"]).select("_c", "_t", F.coalesce("prev", "before").alias("prev"))
 
 
-def _chase(nodes: DataFrame, workspace: Workspace, out: str, steps: str) -> DataFrame:
-    """nodes: _c, _t, next (null at an end).  The end of each chain and the number of steps to it, by pointer doubling."""
-    now = workspace.store(nodes.select("_c", "_t", F.coalesce("next", "_t").alias("to"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("n")))
-    while True:
-        far = now.select("_c", F.col("_t").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
-        new = workspace.store(now.join(far, ["_c", "to"]).select("_c", "_t", F.col("to2").alias("to"), (F.col("n") + F.col("n2")).alias("n"), (F.col("n2") > 0).alias("moved")))
-        now = new.drop("moved")
-        if not new.filter("moved").limit(1).count():
-            return now.select("_c", "_t", F.col("to").alias(out), F.col("n").alias(steps))
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by conversation, block and turn: follows every chain of parents to its end or out of its block.
+
+    A parent is an earlier turn, so one pass is enough, and what it remembers is one block.
+    """
+    at, seen = None, {}
+    for batch in batches:
+        rows = []
+        for c, b, t, parent, first in zip(*(batch.column(x).to_pylist() for x in ("_c", "b", "_t", "parent", "is_first")), strict=True):
+            if at != (c, b):
+                at, seen = (c, b), {}
+            if parent is None:
+                root, depth, deep, branch, apart = t, 0, False, t, False
+            else:
+                root, depth, deep, branch, apart = seen.get(parent, (parent, 0, True, parent, True))
+                depth += 1
+                if not first:
+                    branch, apart = t, False
+            seen[t] = (root, depth, deep, branch, apart)
+            rows.append(seen[t])
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_())
+        kept = ["_c", "_t", "parent"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], names=[*kept, "root", "depth", "deep", "branch_turn", "apart"])
+
+
+def _follow(nodes: DataFrame, workspace: Workspace, end: str, leaves: str) -> DataFrame:
+    """_c, _t, end, n (steps more) of the nodes whose chain leaves its block.
+
+    Pointer doubling over the nodes at which such chains leave off; those that have arrived aren't joined again.
+    """
+    out = nodes.filter(leaves).select("_c", "_t", F.col(end).alias("end"))
+    asked = out.select("_c", F.col("end").alias("_t")).distinct()
+    now = workspace.store(nodes.join(asked, ["_c", "_t"], "left_semi").select("_c", "_t", F.col(end).alias("end"), F.col("depth").alias("n"), F.col(leaves).alias("open")))
+    while now.filter("open").limit(1).count():
+        far = now.select("_c", F.col("_t").alias("end"), F.col("end").alias("end2"), F.col("n").alias("n2"), F.col("open").alias("open2"))
+        moved = now.filter("open").join(far, ["_c", "end"]).select("_c", "_t", F.col("end2").alias("end"), (F.col("n") + F.col("n2")).alias("n"), F.col("open2").alias("open"))
+        now = workspace.store(now.filter("not open").unionByName(moved))
+    ends = now.select("_c", F.col("_t").alias("end"), F.col("end").alias("end2"), "n")
+    return out.join(ends, ["_c", "end"]).select("_c", "_t", F.col("end2").alias("end"), "n")
 
 
 def thread_conversations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", workspace: Workspace | None = None) -> DataFrame:
@@ -125,9 +159,15 @@ def thread_conversations(messages: DataFrame, *, conv_col: str = "conv_id", turn
     tree = workspace.store(_previous(turns).join(quoted, ["_c", "_t"], "left").select("_c", "_t", F.coalesce("q", "prev").alias("parent")))
     first = tree.filter("parent is not null").groupBy("_c", F.col("parent")).agg(F.min("_t").alias("first"))
     joined = tree.join(first, ["_c", "parent"], "left").select("_c", "_t", "parent", (F.col("first") == F.col("_t")).alias("is_first"))
-    depth = _chase(joined.select("_c", "_t", F.col("parent").alias("next")), workspace, "root", "depth")
-    branch = _chase(joined.select("_c", "_t", F.expr("if(is_first, parent, null)").alias("next")), workspace, "branch_turn", "_")
-    shape = workspace.store(tree.join(depth.select("_c", "_t", "depth"), ["_c", "_t"]).join(branch.select("_c", "_t", "branch_turn"), ["_c", "_t"]).join(n_links, ["_c", "_t"], "left"))
+    placed = joined.withColumn("b", F.floor(F.col("_t") / TURNS)).repartition("_c", "b").sortWithinPartitions("_c", "b", "_t")
+    kind = turns.schema["_c"].dataType.simpleString()
+    nodes = workspace.store(placed.mapInArrow(_walk, f"_c {kind}, _t long, parent long, root long, depth long, deep boolean, branch_turn long, apart boolean"))
+    depth = _follow(nodes, workspace, "root", "deep").select("_c", "_t", F.col("n").alias("_n"))
+    branch = _follow(nodes, workspace, "branch_turn", "apart").select("_c", "_t", F.col("end").alias("_b"))
+    shape = nodes.join(depth, ["_c", "_t"], "left").join(branch, ["_c", "_t"], "left").join(n_links, ["_c", "_t"], "left")
+    shape = workspace.store(
+        shape.select("_c", "_t", "parent", (F.col("depth") + F.coalesce("_n", F.lit(0))).alias("depth"), F.coalesce("_b", "branch_turn").alias("branch_turn"), "n_linked")
+    )
     release_shuffles(spark)
     n_quoted = F.size(F.filter(F.split(F.coalesce("_x", F.lit("")), "\r?\n", -1), lambda x: _level(x) > 0)).cast("long")
     body = own_body(F.col("_x"))

@@ -4,6 +4,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import random
 import re
 import zlib
 
@@ -267,6 +268,28 @@ def test_chat(spark):
     assert thread_conversations(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("turns", [3, 256])
+def test_chat_blocks(spark, monkeypatch, turns):
+    """Depth and branch of long conversations against the chains of parents, followed one by one."""
+    from larkspur.llm import chat_quotes
+
+    monkeypatch.setattr(chat_quotes, "TURNS", turns)
+    rng = random.Random(5)
+    rows = [(c, 2 * t, "user", (f"> line number {2 * rng.randrange(t)} of {c}\n" if t and rng.random() < q else "") + f"line number {2 * t} of {c}") for c, n, q in (("a", 90, 0.5), ("b", 70, 0.0), ("c", 40, 1.0)) for t in range(n)]
+    got = {(r["conv_id"], r["turn"]): r for r in thread_conversations(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()}
+    assert len(got) == len(rows)
+    first = {}
+    for c, t in sorted(got):
+        first.setdefault((c, got[c, t]["parent_turn"]), t)
+    for c, t, _, text in rows:
+        quoted = re.match(r"> line number (\d+)", text)
+        parent = int(quoted[1]) if quoted else t - 2 if t else None
+        up = got[c, parent] if parent is not None else None
+        assert got[c, t]["parent_turn"] == parent
+        assert got[c, t]["depth"] == (up["depth"] + 1 if up else 0)
+        assert got[c, t]["branch_turn"] == (up["branch_turn"] if up and first[c, parent] == t else t)
+
+
 def test_pipeline(spark):
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, DATA).collect()}
     all_docs = {r["doc_id"]: r for r in docs(spark).collect()}
