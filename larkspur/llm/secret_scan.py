@@ -2,20 +2,21 @@
 
 The text itself is the first layer.  Each layer is scanned; then every piece of it that decodes (URL escapes, Unicode
 escapes, base64, and deflate or gzip data below base64) becomes a further layer, once: layers are told apart by a
-digest, so cycles and repeated pieces end.  Every layer carries, for each of its characters, the span of the original
+digest, so cycles and repeated pieces end.  Data are inflated to their end, all members of them, in pieces, and long
+layers are scanned in windows, so that memory stays bounded.  Every layer carries, for each of its characters, the span of the original
 text that it came from, and findings are mapped back through it.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +37,15 @@ URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/=_-])")
 
-#: Decompression stops here; what was decompressed up to it is scanned, and the finding says so.
-MOST_BYTES = 64 << 20
+#: Decompressed data comes in pieces of so many bytes; text is scanned in windows of about WINDOW characters.
+CHUNK, WINDOW = 1 << 18, 1 << 20
+#: A layer of up to so many bytes is held; a longer one is inflated again for each pass over it.
+LONG = 1 << 24
+#: Where a window may end: no finding, escape or base64 run goes over these places.
+BREAK = re.compile(r"[^A-Za-z0-9%+/_.=\-\"':\s\\&#;{}~!*()$@,?]|(?<=[.,!?)])\s")
+#: Without such a place in LONG characters, windows overlap, and what goes on over their ends is read as one run.
+OVERLAP = 1024
+_RUN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n\t "
 
 
 @dataclass(frozen=True)
@@ -74,22 +82,24 @@ class _Origin:
         return self.starts[a], self.ends[b - 1]
 
 
-def _url(text: str) -> tuple[str, list[int], list[int]] | None:
-    return _rewrite(text, URL_ESCAPES, lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), "%")
+def _url(text: str, placed: bool = True) -> tuple[str, list[int], list[int]] | None:
+    return _rewrite(text, URL_ESCAPES, lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), "%", placed)
 
 
-def _unicode(text: str) -> tuple[str, list[int], list[int]] | None:
+def _unicode(text: str, placed: bool = True) -> tuple[str, list[int], list[int]] | None:
     def char(m: re.Match) -> str:
         code = int(m[5]) if m[5] else int(next(x for i, x in enumerate(m.groups()) if x and i != 4), 16)
         return chr(code) if code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else "�"
 
-    return _rewrite(text, UNICODE_ESCAPES, char, "\\&")
+    return _rewrite(text, UNICODE_ESCAPES, char, "\\&", placed)
 
 
-def _rewrite(text: str, pattern: re.Pattern, decode, signs: str) -> tuple[str, list[int], list[int]] | None:
-    """The text with its escapes decoded, and the span each character came from; None if there are none."""
+def _rewrite(text: str, pattern: re.Pattern, decode, signs: str, placed: bool) -> tuple[str, list[int], list[int]] | None:
+    """The text with its escapes decoded, and (if placed) the span each character came from; None if there are none."""
     if not any(c in text for c in signs):
         return None
+    if not placed:
+        return pattern.sub(decode, text), [], []
     parts, starts, ends, at = [], [], [], 0
     for m in pattern.finditer(text):
         plain = decode(m)
@@ -105,86 +115,235 @@ def _rewrite(text: str, pattern: re.Pattern, decode, signs: str) -> tuple[str, l
     return "".join(parts), starts, ends
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Gzip, zlib or raw deflate data unwrapped; None if it is none of them."""
-    if data[:2] == b"\x1f\x8b":
-        kinds = (31,)
-    elif data[:1] == b"\x78":
-        kinds = (15,)
-    else:
-        kinds = (-15,)
-    for bits in kinds:
-        d = zlib.decompressobj(bits)
-        try:
-            out = d.decompress(data, MOST_BYTES)
-        except zlib.error:
-            continue
-        if out and (d.eof or d.unconsumed_tail):
-            return out
-    return None
-
+def _inflate(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """What gzip, zlib or raw deflate data holds, member after member, in pieces; nothing if it is none of them.
 
-def _readable(data: bytes) -> str | None:
+    Of broken or truncated data, all that comes before the break.
+    """
+    d, bits, head, first = None, 0, b"", True
+    for data in chunks:
+        data, head = head + data, b""
+        while data or d is not None:
+            if d is None:
+                data = data if first else data.lstrip(b"\0")
+                if len(data) < 2:
+                    head = data
+                    break
+                bits = 31 if data[:2] == b"\x1f\x8b" else 15 if data[0] & 143 == 8 and int.from_bytes(data[:2]) % 31 == 0 else -15
+                d = zlib.decompressobj(bits)
+            before = d.copy() if bits > 0 else None
+            try:
+                out = d.decompress(data, CHUNK)
+            except zlib.error:
+                if before is not None:
+                    yield from _until_broken(before, data)
+                if bits == 15 and first:  # raw deflate data may begin like zlib data
+                    yield from _raw(data)
+                return
+            if out:
+                yield out
+            if d.eof:
+                data, d, first = d.unused_data, None, False
+            else:
+                data = d.unconsumed_tail
+                if not data and len(out) < CHUNK:
+                    break
+
+
+def _until_broken(d, data: bytes) -> Iterator[bytes]:
+    out = bytearray()
     try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c < " " and c not in "\t\n\r" for c in text) * 10 <= len(text) else None
+        for i in range(len(data)):
+            out += d.decompress(data[i : i + 1])
+            if len(out) >= CHUNK:
+                yield bytes(out)
+                out.clear()
+    except zlib.error:
+        pass
+    if out:
+        yield bytes(out)
+
+
+def _raw(data: bytes) -> Iterator[bytes]:
+    d = zlib.decompressobj(-15)
+    try:
+        while True:
+            out = d.decompress(data, CHUNK)
+            if out:
+                yield out
+            data = d.unconsumed_tail
+            if d.eof or not data and len(out) < CHUNK:
+                return
+    except zlib.error:
+        return
+
+
+def _base64(token: str) -> bytes:
+    """The bytes that a token stands for, as far as they are whole."""
+    body = token.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        body = body[:-1]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _base64_run(parts: Iterable[str], start: int, end: int) -> Iterator[bytes]:
+    """The bytes of the run from start to end of a text that comes in parts."""
+    at, kept = 0, ""
+    for part in parts:
+        piece = part[max(start - at, 0) : max(end - at, 0)]
+        at += len(part)
+        kept += re.sub(r"\s", "", piece)
+        done = "=" in kept
+        kept = kept.partition("=")[0]
+        n = len(kept) if done or at >= end else len(kept) // 4 * 4
+        if n:
+            yield _base64(kept[:n])
+        kept = kept[n:]
+        if done or at >= end:
+            return
+    if kept:
+        yield _base64(kept)
+
+
+def _text(chunks: Iterable[bytes]) -> Iterator[str]:
+    """Bytes as characters.  All that is looked for is ASCII, which UTF-8 and the Latin sets share, so that other bytes
+    only have to stay apart from it.  Long runs of blanks shrink: a finding may have any number of them."""
+    for chunk in chunks:
+        yield re.sub("   +", "  ", chunk.decode("latin-1"))
+
+
+def _windows(parts: Iterable[str], runs: list[tuple[int, int]]) -> Iterator[tuple[str, bool]]:
+    """A text in windows, each of which can be read by itself, and whether base64 runs end in it.  Runs that are too long
+    for a window are added to runs."""
+    text, at, begun, looked = "", 0, None, 0
+    for part in parts:
+        if begun is not None:
+            inside = len(part) - len(part.lstrip(_RUN))
+            at += max(len(text) - OVERLAP, 0)
+            text = text[-OVERLAP:] + part[:inside]
+            yield text, False
+            if inside == len(part):
+                continue
+            runs.append((begun, at + len(text)))
+            at += max(len(text) - OVERLAP, 0)
+            text, part, begun, looked = text[-OVERLAP:], part[inside:], None, 0
+        text += part
+        if len(text) < WINDOW:
+            continue
+        cut = next((m[-1] for far in (1 << 12, len(text)) if (m := [x.start() for x in BREAK.finditer(text, max(len(text) - far, looked))])), 0)
+        looked = len(text)
+        if cut:
+            yield text[:cut], True
+            text, at, looked = text[cut:], at + cut, 0
+        elif len(text) >= LONG:
+            start = len(text.rstrip(_RUN))
+            yield text[:start], True
+            at += max(start - OVERLAP, 0)
+            text, looked = text[max(start - OVERLAP, 0) :], 0
+            if len(text) >= LONG // 2:
+                begun = at + min(start, OVERLAP)
+                yield text, False
+    if begun is not None:
+        runs.append((begun, at + len(text)))
+    elif text:
+        yield text, True
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    return (data[i : i + CHUNK] for i in range(0, len(data), CHUNK))
 
 
-def _base64(token: str) -> list[tuple[str, str]]:
-    """What a token decodes to, if it is text or compressed text: (layer name, text)."""
-    body = token.rstrip("=")
-    if len(body) % 4 == 1 or len(token) > len(body) and len(token) % 4:
-        return []
-    try:
-        data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return []
-    text = _readable(data)
-    if text is not None:
-        return [("base64", text)]
-    plain, depth = _inflate(data), 0
-    while plain is not None:
-        depth += 1
-        text = _readable(plain)
-        if text is not None:
-            return [("base64" + "+deflate" * depth, text)]
-        plain = _inflate(plain)
-    return []
+@dataclass(frozen=True)
+class _Data:
+    """Bytes that a piece of a text decodes to; open() gives them in chunks, each time anew."""
+
+    open: Callable[[], Iterator[bytes]]
+    origin: _Origin
+    name: str
 
 
 def find_all(text: str) -> tuple[list[tuple[str, int, int]], list[Span]]:
     """(matches in the text itself, all spans: those and the ones found in decoded layers)."""
     base = scan(text)
-    spans = {(a, [k for k, *_ in KINDS].index(kind), b): Span(kind, a, b, "text") for kind, a, b in base}
-    work: deque[tuple[str, _Origin, str]] = deque([(text, _Origin(), "text")])
+    order = {kind: i for i, (kind, *_) in enumerate(KINDS)}
+    spans = {(a, order[kind], b): Span(kind, a, b, "text") for kind, a, b in base}
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
 
-    def push(layer: str, origin: _Origin, name: str) -> None:
-        mark = hashlib.blake2b(layer.encode("utf-8", "surrogatepass") + repr(origin.whole).encode(), digest_size=16).digest()
-        if mark not in seen:
-            seen.add(mark)
+    def new(data: bytes, origin: _Origin, sort: str) -> bool:
+        mark = hashlib.blake2b(data + f"{sort}{origin.whole}".encode(), digest_size=16).digest()
+        known = mark in seen
+        seen.add(mark)
+        return not known
+
+    def push(work: deque, layer: str, origin: _Origin, name: str) -> None:
+        if layer and new(layer.encode("utf-8", "surrogatepass"), origin, "t"):
             work.append((layer, origin, name))
 
-    while work:
-        layer, origin, name = work.popleft()
+    def read(layer: str, origin: _Origin, name: str, work: deque, ends: bool = True) -> None:
         if name != "text":
             for kind, a, b in scan(layer):
                 start, end = origin.span(a, b)
-                spans.setdefault((start, [k for k, *_ in KINDS].index(kind), end), Span(kind, start, end, name))
+                spans.setdefault((start, order[kind], end), Span(kind, start, end, name))
         for decoder, label in ((_url, "url"), (_unicode, "unicode")):
-            got = decoder(layer)
+            got = decoder(layer, origin.whole is None)
             if got is not None and got[0] != layer:
-                plain, starts, ends = got
+                plain, firsts, lasts = got
                 if origin.whole is not None:
-                    push(plain, origin, f"{name}>{label}")
+                    push(work, plain, origin, f"{name}>{label}")
                 elif plain:
-                    both = [origin.span(a, b) for a, b in zip(starts, ends, strict=True)]
-                    push(plain, _Origin(None, [a for a, _ in both], [b for _, b in both]), f"{name}>{label}")
-        for m in BASE64.finditer(layer):
-            for label, plain in _base64(m[0]):
-                push(plain, _Origin(origin.span(m.start(), m.end())), f"{name}>{label}")
+                    both = [origin.span(a, b) for a, b in zip(firsts, lasts, strict=True)]
+                    push(work, plain, _Origin(None, [a for a, _ in both], [b for _, b in both]), f"{name}>{label}")
+        for m in BASE64.finditer(layer) if ends else ():
+            hold(work, _base64(m[0]), _Origin(origin.span(m.start(), m.end())), f"{name}>base64")
+
+    def hold(work: deque, data: bytes, origin: _Origin, name: str) -> None:
+        if data and new(data, origin, "b"):
+            work.append(_Data(lambda: _pieces(data), origin, name))
+
+    def unpack(it: _Data, work: deque) -> None:
+        chunks = it.open()
+        held, more = [], next(chunks, None)
+        while more is not None and sum(map(len, held)) < WINDOW:
+            held.append(more)
+            more = next(chunks, None)
+        if more is None:
+            push(work, b"".join(held).decode("latin-1"), it.origin, it.name)
+            inflated(work, it)
+            return
+        mark, runs = hashlib.blake2b(digest_size=16), []
+
+        def marked() -> Iterator[bytes]:
+            for chunk in chain(held, (more,), chunks):
+                mark.update(chunk)
+                yield chunk
+
+        for window, ends in _windows(_text(marked()), runs):
+            drain(deque([(window, it.origin, it.name)]), ends)
+        if new(mark.digest(), it.origin, "m"):
+            for a, b in runs:
+                work.append(_Data(lambda a=a, b=b: _base64_run(_text(it.open()), a, b), it.origin, f"{it.name}>base64"))
+            inflated(work, it)
+
+    def inflated(work: deque, it: _Data) -> None:
+        chunks, held, size = _inflate(it.open()), [], 0
+        for chunk in chunks:
+            held.append(chunk)
+            size += len(chunk)
+            if size > LONG:
+                work.append(_Data(lambda: _inflate(it.open()), it.origin, it.name + "+deflate"))
+                return
+        hold(work, b"".join(held), it.origin, it.name + "+deflate")
+
+    def drain(work: deque, ends: bool = True) -> None:
+        while work:
+            it = work.popleft()
+            if isinstance(it, _Data):
+                unpack(it, work)
+            else:
+                read(*it, work, ends)
+                ends = True
+
+    drain(deque([(text, _Origin(), "text")]))
     return base, [spans[k] for k in sorted(spans)]
 
 

@@ -161,6 +161,23 @@ def test_secrets(spark):
     assert find_secrets(planted).first()["base"] == find_secrets(planted).first()["spans"]
 
 
+def test_secrets_of_whole_streams(monkeypatch):
+    """Nothing behind a length, a member or a window is lost, wherever windows end."""
+    from larkspur.llm import secret_scan
+
+    token = b"token=abcdef123"
+    late = gzip.compress("é, ".encode() * (17 << 20) + token, 1)  # over 64 MiB
+    for data in (gzip.compress(b"first") + gzip.compress(token), zlib.compress(b"first") + zlib.compress(token), late, gzip.compress(token)[:-8] + b"12345678"):
+        layer = base64.b64encode(data).decode()
+        assert [(s.kind, s.start, s.end, s.layer) for s in find_all(f"x {layer}")[1]] == [("assign", 2, 2 + len(layer), "text>base64+deflate")]
+    for name, size in (("CHUNK", 500), ("WINDOW", 2000), ("LONG", 8000)):
+        monkeypatch.setattr(secret_scan, name, size)
+    noise = random.Random(1).randbytes(20000)
+    for inner in (base64.b64encode(noise + token), base64.encodebytes(noise + token), b"x" * 30000 + b" " + token, b"a b " * 9000 + token):
+        layer = base64.b64encode(gzip.compress(inner)).decode()
+        assert {(s.kind, s.start, s.end) for s in find_all(layer)[1]} == {("assign", 0, len(layer))}
+
+
 def test_secret_query_base(spark):
     got = {r["doc_id"]: r for r in queries.op9_secret_scan(spark, DATA).collect()}
     pattern = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
