@@ -1,7 +1,7 @@
 """Secrets in texts and in what texts encode: a worklist that unwraps layers until nothing new appears.
 
 The text itself is the first layer.  Each layer is scanned; then every piece of it that decodes (URL escapes, Unicode
-escapes, base64, and deflate or gzip data below base64) becomes a further layer, once: layers are told apart by a
+escapes, base64 that may go over line ends, UTF-16, and deflate or gzip data below base64 and escapes) becomes a further layer, once: layers are told apart by a
 digest, so cycles and repeated pieces end.  Data are inflated to their end, all members of them, in pieces, and long
 layers are scanned in windows, so that memory stays bounded.  Every layer carries, for each of its characters, the span of the original
 text that it came from, and findings are mapped back through it.
@@ -10,13 +10,15 @@ text that it came from, and findings are mapped back through it.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, product
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,13 @@ URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/=_-])")
 
+#: Runs of base64 over line ends; how many of their lines belong together is tried out.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+URL_DATA = re.compile(r"(?<![A-Za-z0-9_.~!*'()/+&=:;@$,?-])[A-Za-z0-9_.~!*'()/+&=:;@$,?-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~!*'()/+&=:;@$,?-]*+)++")
+CHAR_DATA = re.compile(r"\x1f\x8b\x08[\x00-\xff]*")
+#: UTF-16 that holds anything to find has so many ASCII characters in a row at least.
+WIDE = ((re.compile(rb"(?:[\t\n\r -~]\0){12}"), "utf-16-le"), (re.compile(rb"(?:\0[\t\n\r -~]){12}"), "utf-16-be"))
+
 #: Decompressed data comes in pieces of so many bytes; text is scanned in windows of about WINDOW characters.
 CHUNK, WINDOW = 1 << 18, 1 << 20
 #: A layer of up to so many bytes is held; a longer one is inflated again for each pass over it.
@@ -186,6 +195,43 @@ def _base64(token: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
+def _joined(run: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the parts of a wrapped run that may be one piece of base64: lines of one width with the shorter
+    one after them, the same after a line that begins elsewhere, and the whole run."""
+    lines = [(m.start(), m.end()) for m in re.finditer(r"\S+", run)]
+    wide = [b - a for a, b in lines]
+    parts = {(0, len(lines))}
+    for i in range(len(lines) - 1):
+        if i and wide[i] == wide[i - 1]:
+            continue
+        for first in {i, i + 1}:
+            j = first + 1
+            while j < len(lines) and wide[j] == wide[first]:
+                j += 1
+            parts.add((i, j + (j < len(lines) and wide[j] < wide[first])))
+    for i, j in sorted(parts):
+        if j > i + 1 and max(wide[i:j]) >= 16:
+            yield lines[i][0], lines[j - 1][1]
+
+
+def _url_data(token: str) -> Iterator[bytes]:
+    """The bytes of a token with URL escapes, and those from each place on at which compressed data begins."""
+    for text in {token, token.replace("+", " ")}:
+        data, at, starts = unquote_to_bytes(text), 0, {text.find("%")}
+        for piece in re.split("(?<=[=&?])", text):
+            starts.add(at)
+            at += len(unquote_to_bytes(piece))
+        yield data
+        yield from _packed(data, starts - {0})
+
+
+def _packed(data: bytes, starts: set[int] | None = None) -> Iterator[bytes]:
+    """The data from each place on at which something can be inflated: starts, and where gzip data begins."""
+    for start in sorted((starts or set()) | {m.start() for m in re.finditer(rb"\x1f\x8b\x08", data)}):
+        if next(_inflate(iter((data[start : start + CHUNK],))), None):
+            yield data[start:]
+
+
 def _base64_run(parts: Iterable[str], start: int, end: int) -> Iterator[bytes]:
     """The bytes of the run from start to end of a text that comes in parts."""
     at, kept = 0, ""
@@ -212,6 +258,20 @@ def _text(chunks: Iterable[bytes]) -> Iterator[str]:
         yield re.sub("   +", "  ", chunk.decode("latin-1"))
 
 
+def _wide(data: bytes) -> Iterator[str]:
+    """The UTF-16 readings of the data in which something can be found."""
+    for pattern, code in WIDE:
+        for odd in {m.start() % 2 for m in pattern.finditer(data)}:
+            yield data[odd:].decode(code, "replace")
+
+
+def _wide_parts(chunks: Iterable[bytes], code: str, odd: int) -> Iterator[str]:
+    decoder = codecs.getincrementaldecoder(code)("replace")
+    for chunk in chunks:
+        yield re.sub("   +", "  ", decoder.decode(chunk[odd:]))
+        odd = 0
+
+
 def _windows(parts: Iterable[str], runs: list[tuple[int, int]]) -> Iterator[tuple[str, bool]]:
     """A text in windows, each of which can be read by itself, and whether base64 runs end in it.  Runs that are too long
     for a window are added to runs."""
@@ -260,6 +320,8 @@ class _Data:
     open: Callable[[], Iterator[bytes]]
     origin: _Origin
     name: str
+    #: Whether the bytes are to be read as text too; those of URL escapes have been.
+    plain: bool = True
 
 
 def find_all(text: str) -> tuple[list[tuple[str, int, int]], list[Span]]:
@@ -295,10 +357,20 @@ def find_all(text: str) -> tuple[list[tuple[str, int, int]], list[Span]]:
                     push(work, plain, _Origin(None, [a for a, _ in both], [b for _, b in both]), f"{name}>{label}")
         for m in BASE64.finditer(layer) if ends else ():
             hold(work, _base64(m[0]), _Origin(origin.span(m.start(), m.end())), f"{name}>base64")
-
-    def hold(work: deque, data: bytes, origin: _Origin, name: str) -> None:
-        if data and new(data, origin, "b"):
-            work.append(_Data(lambda: _pieces(data), origin, name))
+        for m in WRAPPED.finditer(layer) if ends and "\n" in layer else ():
+            for a, b in _joined(m[0]):
+                token = "".join(m[0][a:b].split()).partition("=")[0]
+                hold(work, _base64(token), _Origin(origin.span(m.start() + a, m.start() + b)), f"{name}>base64")
+        for m in URL_DATA.finditer(layer) if "%" in layer else ():
+            for data in _url_data(m[0]):
+                hold(work, data, _Origin(origin.span(*m.span())), f"{name}>url", False)
+        for m in CHAR_DATA.finditer(layer) if name.endswith(">unicode") else ():
+            for data in _packed(m[0].encode("latin-1")):
+                hold(work, data, _Origin(origin.span(*m.span())), name, False)
+
+    def hold(work: deque, data: bytes, origin: _Origin, name: str, plain: bool = True) -> None:
+        if data and new(data, origin, "b" if plain else "u"):
+            work.append(_Data(lambda: _pieces(data), origin, name, plain))
 
     def unpack(it: _Data, work: deque) -> None:
         chunks = it.open()
@@ -307,21 +379,37 @@ def find_all(text: str) -> tuple[list[tuple[str, int, int]], list[Span]]:
             held.append(more)
             more = next(chunks, None)
         if more is None:
-            push(work, b"".join(held).decode("latin-1"), it.origin, it.name)
+            data = b"".join(held)
+            if it.plain:
+                push(work, data.decode("latin-1"), it.origin, it.name)
+            for text in _wide(data):
+                push(work, text, it.origin, f"{it.name}+utf16")
             inflated(work, it)
             return
-        mark, runs = hashlib.blake2b(digest_size=16), []
+        mark, zeros = hashlib.blake2b(digest_size=16), False
 
         def marked() -> Iterator[bytes]:
+            nonlocal zeros
             for chunk in chain(held, (more,), chunks):
                 mark.update(chunk)
+                zeros = zeros or b"\0" in chunk
                 yield chunk
 
-        for window, ends in _windows(_text(marked()), runs):
-            drain(deque([(window, it.origin, it.name)]), ends)
-        if new(mark.digest(), it.origin, "m"):
+        def walk(parts: Callable[[], Iterator[str]], first: Iterator[str], name: str) -> None:
+            runs = []
+            for window, ends in _windows(first, runs):
+                drain(deque([(window, it.origin, name)]), ends)
             for a, b in runs:
-                work.append(_Data(lambda a=a, b=b: _base64_run(_text(it.open()), a, b), it.origin, f"{it.name}>base64"))
+                work.append(_Data(lambda a=a, b=b: _base64_run(parts(), a, b), it.origin, f"{name}>base64"))
+
+        if it.plain:
+            walk(lambda: _text(it.open()), _text(marked()), it.name)
+        else:
+            deque(marked(), 0)
+        if new(mark.digest(), it.origin, "m" if it.plain else "n"):
+            for code, odd in product(("utf-16-le", "utf-16-be"), (0, 1)) if zeros else ():
+                wide = lambda code=code, odd=odd: _wide_parts(it.open(), code, odd)
+                walk(wide, wide(), f"{it.name}+utf16")
             inflated(work, it)
 
     def inflated(work: deque, it: _Data) -> None:

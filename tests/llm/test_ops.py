@@ -178,6 +178,21 @@ def test_secrets_of_whole_streams(monkeypatch):
         assert {(s.kind, s.start, s.end) for s in find_all(layer)[1]} == {("assign", 0, len(layer))}
 
 
+def test_secrets_of_wrapped_and_odd_layers():
+    from urllib.parse import quote, quote_plus
+
+    token, noise = b"token=abcdef123", random.Random(2).randbytes(300)
+    wrapped = [base64.encodebytes(x).decode() for x in (gzip.compress(noise + token), zlib.compress(noise + token), b"lorem ipsum dolor sit amet consectetur adipiscing, " + token + b" etc")]
+    pem = "-----BEGIN CERTIFICATE-----\n" + wrapped[0] + "-----END CERTIFICATE-----\n"
+    odd = ["caf\xe9 token=abcdef123".encode("latin-1"), token.decode().encode("utf-16-le"), b"\xfe\xff" + token.decode().encode("utf-16-be"), b"\0\1\0\2\0" + token + b"\0"]
+    packed = gzip.compress(noise + token)
+    texts = [*wrapped, pem, wrapped[0].replace("\n", "\r\n  "), "key: " + wrapped[0] + "Thanks\nand regards", *(base64.b64encode(x).decode() for x in odd)]
+    texts += ["http://a.example/?x=1&data=" + quote(packed), "data=" + quote_plus(packed), quote(token.decode().encode("utf-16-le")), "".join(f"\\x{c:02x}" for c in packed)]
+    for text in texts:
+        assert {s.kind for s in find_all(f"See:\n{text}\n.")[1]} == {"assign"}, text
+    assert not find_all(base64.encodebytes(noise).decode())[1]
+
+
 def test_secret_query_base(spark):
     got = {r["doc_id"]: r for r in queries.op9_secret_scan(spark, DATA).collect()}
     pattern = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
