@@ -4,7 +4,8 @@
 * Declared language and address suffix: P(value | language), counted over all rows by the language their text shows.
 * Host: P(language | host), smoothed hierarchically: host by its parent domain, that by all rows.
 
-All tables come from grouped aggregation over all rows.  The text model has a fixed size (languages x bins); host,
+All tables come from grouped aggregation over all rows.  The text model covers every declared value; it has an entry for
+each bin that occurs with it (for all bins of up to DENSE values); host,
 suffix and declaration tables are written down and joined, so that Spark knows their size and broadcasts only small
 ones.
 """
@@ -25,8 +26,10 @@ BINS = 1 << 14
 TEMPER, MOST = 0.2, 400
 #: Pseudo-counts of a level's parent.
 PRIOR_ROWS = 20.0
-#: Languages that the text model can hold; declared values beyond the most frequent ones count as unknown.
-LANGUAGES = 64
+#: Up to so many declared values have dense tables; of more, only the trigrams that occur are held.  All are modelled.
+DENSE = 64
+#: Pairs of a trigram and a language that are handled at a time.
+PAIRS = 1 << 21
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -49,21 +52,64 @@ def trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _count(languages: list[str]):
+    def entries(total: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(total // BINS, pa.int32()), pa.array(total % BINS, pa.int32()), pa.array(n, pa.int64())], names=["lang", "bin", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BINS), np.int64)
+        at = {x: i for i, x in enumerate(languages)}
+        dense = len(languages) <= DENSE
+        total = np.zeros(len(languages) * BINS if dense else 0, np.int64)
         for batch in batches:
             for part in slices(batch, "_text"):
-                lang = np.array([languages.index(x) if x in languages else -1 for x in part.column("_declared").to_pylist()])
+                lang = np.array([at.get(x, -1) for x in part.column("_declared").to_pylist()])
                 bins, doc = trigrams(*text_bytes(part.column("_text")))
                 known = lang[doc] >= 0 if len(doc) else np.zeros(0, bool)
-                np.add.at(total, (lang[doc[known]], bins[known]), 1)
-        at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "bin", "n"])
+                code = lang[doc[known]] * BINS + bins[known]
+                if dense:
+                    np.add.at(total, code, 1)
+                elif len(code):
+                    yield entries(*np.unique(code, return_counts=True))
+        if dense:
+            seen = np.nonzero(total)[0]
+            yield entries(seen, total[seen])
 
     return run
 
 
-def _likelihoods(table: np.ndarray):
+class _Model:
+    """Log-likelihoods of bins by language: a dense table, or what occurring bins add to the value of all others."""
+
+    def __init__(self, n_lang: int, lang: np.ndarray, bins: np.ndarray, n: np.ndarray):
+        self.n_lang = n_lang
+        total = np.bincount(lang, n, n_lang) + 0.5 * BINS
+        if n_lang <= DENSE:
+            counts = np.full((n_lang, BINS), 0.5)
+            counts[lang, bins] += n
+            self.table = np.log(counts / total[:, None]) if n_lang else counts
+            return
+        order = np.argsort(bins, kind="stable")
+        self.table, self.other = None, np.log(0.5 / total)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(bins, minlength=BINS))))
+        self.lang = lang[order].astype(np.int32)
+        self.more = np.log((n[order] + 0.5) / 0.5)
+
+    def score(self, bins: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
+        """Sums over the bins of each text: rows x languages."""
+        if self.table is not None:
+            return np.stack([np.bincount(doc, row[bins], rows) for row in self.table], axis=1) if self.n_lang else np.zeros((rows, 0))
+        out = np.bincount(doc, minlength=rows)[:, None] * self.other
+        flat = out.reshape(-1)
+        step = max(PAIRS // self.n_lang, 1)
+        for i in range(0, len(bins), step):
+            b, d = bins[i : i + step], doc[i : i + step]
+            size = self.first[b + 1] - self.first[b]
+            ends = np.cumsum(size)
+            at = np.repeat(self.first[b] - ends + size, size) + np.arange(ends[-1])
+            np.add.at(flat, np.repeat(d, size) * self.n_lang + self.lang[at], self.more[at])
+        return out
+
+
+def _likelihoods(model: _Model):
     """Adds _ll (tempered log-likelihood of each language) and _grams to each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +117,7 @@ def _likelihoods(table: np.ndarray):
             for part in slices(batch, "_text"):
                 bins, doc = trigrams(*text_bytes(part.column("_text")))
                 n = np.bincount(doc, minlength=part.num_rows)
-                ll = np.stack([np.bincount(doc, row[bins], part.num_rows) for row in table], axis=1) if len(table) else np.zeros((part.num_rows, 0))
-                ll = ll * (TEMPER * np.minimum(n, MOST) / np.maximum(n, 1))[:, None]
+                ll = model.score(bins, doc, part.num_rows) * (TEMPER * np.minimum(n, MOST) / np.maximum(n, 1))[:, None]
                 yield part.append_column("_ll", pa.array(list(ll), pa.list_(pa.float64()))).append_column("_grams", pa.array(n, pa.int64()))
 
     return run
@@ -113,22 +158,20 @@ def identify(
             "_suffix": suffix,
         }
     )
-    seen = keyed.filter("_declared <> ''").groupBy("_declared").count().orderBy(F.desc("count"), "_declared").limit(LANGUAGES).collect()
+    seen = keyed.filter("_declared <> ''").select("_declared").distinct().collect()
     languages = sorted(r["_declared"] for r in seen)
-    counts = np.zeros((len(languages), BINS))
     grams = keyed.select("_text", "_declared").mapInArrow(_count(languages), "lang int, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    for r in grams.toLocalIterator():  # at most LANGUAGES * BINS rows
-        counts[r["lang"], r["bin"]] = r["n"]
-    table = np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)) if len(languages) else counts
+    held = grams.toArrow()  # what occurs of languages x BINS
+    model = _Model(len(languages), *(held.column(c).to_numpy().astype(np.int64) for c in ("lang", "bin", "n")))
     n_lang = len(languages)
-    names = F.array(*map(F.lit, languages)) if languages else F.array().cast("array<string>")
+    names = F.lit(languages) if languages else F.array().cast("array<string>")
     best = lambda c: F.when(F.size(c) > 0, F.array_position(c, F.array_max(c)).cast("int"))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields)
-    scored = keyed.mapInArrow(_likelihoods(table), f"{kinds}, _ll array<double>, _grams long")
+    scored = keyed.mapInArrow(_likelihoods(model), f"{kinds}, _ll array<double>, _grams long")
     shown = workspace.store(
         keyed.select("_text", "_declared", "_host", "_parent", "_suffix")
-        .mapInArrow(_likelihoods(table), "_text string, _declared string, _host string, _parent string, _suffix string, _ll array<double>, _grams long")
+        .mapInArrow(_likelihoods(model), "_text string, _declared string, _host string, _parent string, _suffix string, _ll array<double>, _grams long")
         .filter("_grams > 0")
         .groupBy("_declared", "_host", "_parent", "_suffix", best(F.col("_ll")).alias("l"))
         .agg(F.count("*").alias("n"))
@@ -136,19 +179,25 @@ def identify(
 
     def vector(key: str) -> DataFrame:
         """Rows of each language by a key."""
-        sums = [F.sum(F.when(F.col("l") == i + 1, F.col("n")).otherwise(0)).cast("double") for i in range(n_lang)]
-        return shown.groupBy(key).agg(F.array(*sums).alias("v") if sums else F.array().cast("array<double>").alias("v"))
-
-    everything = shown.agg(*(F.sum(F.when(F.col("l") == i + 1, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(n_lang))).first() if n_lang else []
-    share = np.array([x or 0 for x in everything], float) + 1.0
-    root = F.array(*(F.lit(float(x)) for x in share / share.sum())) if n_lang else F.array().cast("array<double>")
+        if n_lang <= DENSE:
+            sums = [F.sum(F.when(F.col("l") == i + 1, F.col("n")).otherwise(0)).cast("double") for i in range(n_lang)]
+            return shown.groupBy(key).agg(F.array(*sums).alias("v") if sums else F.array().cast("array<double>").alias("v"))
+        by = shown.groupBy(key, "l").agg(F.sum("n").cast("double").alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("m"))
+        return by.select(key, F.transform(F.sequence(F.lit(1), F.lit(n_lang)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+
+    share = np.ones(n_lang)
+    for r in shown.groupBy("l").agg(F.sum("n").alias("n")).collect():
+        if r["l"] is not None:
+            share[r["l"] - 1] += r["n"]
+    root = F.lit((share / share.sum()).tolist()) if n_lang else F.array().cast("array<double>")
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
     smooth = lambda v, over: F.transform(over, lambda p, i: (F.get(v, i) + PRIOR_ROWS * p) / (total(v) + PRIOR_ROWS))
     parents = workspace.store(vector("_parent").select("_parent", smooth(F.col("v"), root).alias("_pp")))
     hosts = shown.select("_host", "_parent").distinct().join(vector("_host"), "_host").join(parents, "_parent")
     hosts = workspace.store(hosts.select("_host", smooth(F.col("v"), F.col("_pp")).alias("_ph")))
+    shares = F.lit(share.tolist()) if n_lang else F.array().cast("array<double>")
     given = lambda key, out: workspace.store(  # noqa: E731  P(value | language), one pseudo-row spread over all
-        vector(key).select(key, F.transform(F.col("v"), lambda x, i: (x + F.lit(1.0)) / (F.get(F.array(*(F.lit(float(s)) for s in share)), i) + F.lit(10.0))).alias(out))
+        vector(key).select(key, F.transform(F.col("v"), lambda x, i: (x + F.lit(1.0)) / (F.get(shares, i) + F.lit(10.0))).alias(out))
     )
     said, ends = given("_declared", "_pd"), given("_suffix", "_ps")
     flat = F.array_repeat(F.lit(1.0), n_lang)

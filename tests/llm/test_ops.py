@@ -274,6 +274,16 @@ def test_language_id(spark):
     assert spark.range(1).select(address_host(F.lit("https://u@A.B.example.org:80/x"))).first()[0] == "a.b.example.org"
 
 
+def test_many_languages(spark):
+    """Every declared language is modelled, however many there are and however rare they are."""
+    rng = random.Random(4)
+    words = {f"x{n:02d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)] for n in range(70)}
+    rows = [(lang, lang if i else None, " ".join(rng.choices(words[lang], k=40))) for n, lang in enumerate(words) for i in range(3 + (n < 64))]
+    df = spark.createDataFrame(rows, "truth string, lang string, text string")
+    got = identify(df, text=F.col("text"), declared=F.col("lang"), host=F.lit("h")).collect()
+    assert len(got) == len(rows) and all(r["_language"] == r["truth"] and r["_accepted"] for r in got)
+
+
 def test_quality(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     both = {r["doc_id"]: r for r in queries.op8_quality_pu(spark, "/root/testdata/sf0.01").collect()}
