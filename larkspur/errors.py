@@ -29,5 +29,17 @@ class SelectionError(TableError, ValueError):
     """A projection or window that can't be resolved."""
 
 
+class SinkError(TableError, ValueError):
+    """A sink that is used out of turn, or gets rows that don't fit."""
+
+
 def warn(message: str, source: str | None = None) -> None:
     log.warning("%s%s", f"{source}: " if source else "", message)
+
+
+def log_to(path: str) -> logging.Handler:
+    """Warnings also go to a file, in whole lines; close the handler, or remove it from `log`, to end that."""
+    handler = logging.FileHandler(path, encoding="utf-8")
+    handler.setFormatter(logging.Formatter("%(levelname)s: %(message)s"))
+    log.addHandler(handler)
+    return handler

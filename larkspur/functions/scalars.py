@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkspur.functions.formats import FORMAT_KINDS
+
 #: 1960-01-01 in days and seconds before 1970-01-01.
 EPOCH_DAYS, EPOCH_SECONDS = 3653, 315_619_200
 SAFE_INT = 9_007_199_254_740_992
@@ -12,6 +14,11 @@ MAX_LONG = 9.223372036854775807e18
 MIN_DAY, MAX_DAY = -719_162, 2_932_896
 
 
+def bind(c: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 # --- text ---------------------------------------------------------------------------------------------------------
 
 
@@ -41,14 +48,11 @@ def normalise_format(c: Column) -> Column:
 def infer_kind(fmt: Column) -> Column:
     """double, date, datetime or time by the name of a numeric format."""
     f = normalise_format(F.coalesce(fmt, F.lit("")))
-    has = lambda *xs: F.greatest(*(F.contains(f, F.lit(x)).cast("int") for x in xs), F.lit(0)) == 1
-    starts = lambda *xs: F.greatest(*(f.startswith(x).cast("int") for x in xs), F.lit(0)) == 1
-    return (
-        F.when(has("DATETIME") | starts("DT", "E8601DT", "B8601DT") | f.endswith("DT"), "datetime")
-        .when(has("TIME") | f.endswith("TM") | starts("E8601TM", "HHMM"), "time")
-        .when(has("DATE", "YY", "MON", "WEEK", "YEAR", "MINGUO") | f.endswith("DA") | starts("E8601DA", "B8601DA"), "date")
-        .otherwise("double")
-    )
+    any_of = lambda tests: F.greatest(*(x.cast("int") for x in tests), F.lit(0)) == 1
+    out = F.lit("double")
+    for kind, inside, starts, ends in reversed(FORMAT_KINDS):
+        out = F.when(any_of([F.contains(f, F.lit(x)) for x in inside] + [f.startswith(x) for x in starts] + [f.endswith(x) for x in ends]), kind).otherwise(out)
+    return out
 
 
 def repair_mojibake(c: Column) -> Column:
@@ -58,6 +62,21 @@ def repair_mojibake(c: Column) -> Column:
     return F.when(low, F.coalesce(F.try_validate_utf8(F.when(low, raw).cast("string")), c)).otherwise(c)
 
 
+def has_controls(c: Column) -> Column:
+    """Control characters (up to U+001F, U+007F to U+009F): a sign that text was read in a wrong encoding."""
+    return c.rlike(r"[\x00-\x1F\x7F-\x9F]")
+
+
+def shifted_ascii(a: Column, b: Column) -> Column:
+    """Are two ASCII texts the same but for one character at an end, lost on one side, or shifted by one place?"""
+    n, m = F.length(a), F.length(b)
+    ascii_only = ~a.rlike(r"[^\x00-\x7F]") & ~b.rlike(r"[^\x00-\x7F]") & (n > 0) & (m > 0)
+    tail, head = lambda c, k: F.substring(c, F.lit(2), k), lambda c, k: F.substring(c, F.lit(1), k)
+    longer = (n == m + 1) & ((tail(a, m) == b) | (head(a, m) == b) | (tail(b, m) == head(a, m - 1)))
+    equal = (n == m) & ((tail(b, n) == head(a, n - 1)) | (tail(a, n) == head(b, n - 1)))
+    return ascii_only & (longer | equal)
+
+
 def label_key(name: Column) -> Column:
     """Name under which a set of value labels is looked up: trimmed, no trailing dots, upper case."""
     return F.upper(F.regexp_replace(F.trim(name), r"\.+$", ""))
@@ -78,6 +97,21 @@ def as_bigint(c: Column, strict: bool = True) -> Column:
     return F.when(c.isNull(), F.lit(None).cast("bigint")).when(found.isNotNull(), found).otherwise(bad)
 
 
+def integer_kind(c: Column, width: int) -> Column:
+    """How a number stored in `width` bytes is typed: int32 (up to 4 bytes), int64 (up to 8), or float if it isn't whole."""
+    whole = exact_int(c.cast("double"))
+    small = whole.between(-(1 << 31), (1 << 31) - 1) if width <= 4 else F.lit(False)
+    return F.when(c.isNull(), F.lit(None).cast("string")).when(whole.isNull(), "float").when(small, "int32").otherwise("int64")
+
+
+def as_string(c: Column, type_name: str, strict: bool = True) -> Column:
+    """Text cells as they are; other kinds are an error, or null if not strict."""
+    if type_name in ("string", "binary"):
+        return c.cast("string")
+    bad = F.raise_error(F.concat(F.lit("not a text: "), c.cast("string"))).cast("string") if strict else F.lit(None).cast("string")
+    return F.when(c.isNotNull(), bad)
+
+
 def as_double(c: Column) -> Column:
     return c.cast("double")
 
@@ -100,7 +134,7 @@ def number_text(c: Column) -> Column:
     sci = c.cast("string")
     mantissa = F.regexp_replace(F.substring_index(sci, "E", 1), r"\.0$", "")
     exponent = F.when(F.contains(sci, F.lit("E")), F.substring_index(sci, "E", -1).try_cast("int"))
-    digits = F.regexp_replace(F.regexp_replace(mantissa, "-", ""), r"\.", "")
+    digits = F.translate(mantissa, "-.", "")
     sign = F.when(c < 0, "-").otherwise("")
     point = exponent + 1
     plain = F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)).otherwise(
@@ -157,7 +191,7 @@ def seconds_to_timestamp(seconds: Column) -> Column:
 
 def seconds_to_micros(seconds: Column) -> Column:
     """A time of day or duration in microseconds, truncated."""
-    return F.when(F.abs(seconds) < 9e12, F.when(seconds < 0, -1).otherwise(1) * _micros(F.abs(seconds)))
+    return bind(seconds, lambda x: F.when(F.abs(x) < 9e12, F.when(x < 0, -1).otherwise(1) * _micros(F.abs(x))))
 
 
 def seconds_to_interval(seconds: Column) -> Column:
@@ -168,6 +202,16 @@ def timestamp_to_seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / 1e6 + EPOCH_SECONDS
 
 
+def as_datetime(c: Column, type_name: str) -> Column:
+    """A datetime, or a date at midnight; other kinds are null."""
+    return c.cast("timestamp_ntz") if type_name == "date" or type_name.startswith("timestamp") else F.lit(None).cast("timestamp_ntz")
+
+
+def as_date(c: Column, type_name: str) -> Column:
+    """A date, or the day of a datetime; other kinds are null."""
+    return c.cast("date") if type_name == "date" or type_name.startswith("timestamp") else F.lit(None).cast("date")
+
+
 def date_to_days(d: Column) -> Column:
     return F.unix_date(d) + EPOCH_DAYS
 
@@ -187,16 +231,19 @@ def datetime_text(ts: Column) -> Column:
     return F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), _millis_text(F.pmod(ms, F.lit(1000))))
 
 
-def time_text(micros: Column) -> Column:
-    """[-]HH:MM:SS[.mmm] of a duration in microseconds; hours may exceed two digits."""
-    ms = F.floor((F.abs(micros) + 500) / 1000).cast("bigint")
+def _time_text(negative: Column, ms: Column) -> Column:
     part = lambda div, mod: F.lpad((F.floor(ms / div) % mod).cast("string"), 2, "0")
     hours = F.floor(ms / 3_600_000).cast("string")
     hours = F.when(F.length(hours) < 2, F.lpad(hours, 2, "0")).otherwise(hours)
-    sign = F.when((micros < 0) & (ms != 0), "-").otherwise("")
+    sign = F.when(negative & (ms != 0), "-").otherwise("")
     return F.concat(sign, hours, F.lit(":"), part(60_000, 60), F.lit(":"), part(1000, 60), _millis_text(ms % 1000))
 
 
+def time_text(micros: Column) -> Column:
+    """[-]HH:MM:SS[.mmm] of a duration in microseconds; hours may exceed two digits."""
+    return bind(micros, lambda m: bind(F.floor((F.abs(m) + 500) / 1000).cast("bigint"), lambda ms: _time_text(m < 0, ms)))
+
+
 def parse_time(text: Column) -> Column:
     """HH:MM:SS[.ffffff] as microseconds."""
     p = F.split(text, ":")

@@ -78,3 +78,24 @@ class RowSelection:
         if self.skip:
             df = df.offset(self.skip)
         return df if self.limit is None else df.limit(self.limit)
+
+
+class MaskedRow:
+    """Cells of a row by name or index; those outside the projection are refused."""
+
+    def __init__(self, row, allowed: list[str] | None = None):
+        self.row, self.names = row, list(row.__fields__)
+        self.allowed = None if allowed is None else set(allowed)
+
+    def cell(self, key: str | int):
+        at = key if isinstance(key, int) else resolve_name(self.names, key)
+        if not 0 <= at < len(self.names):
+            raise SelectionError(f"unknown column {key!r}")
+        if self.allowed is not None and self.names[at].rstrip() not in self.allowed and self.names[at] not in self.allowed:
+            raise SelectionError(f"column {self.names[at]!r} is not part of the projection")
+        return self.row[at]
+
+    def get_as(self, key: str | int, convert):
+        """A cell through the caller's own conversion; null stays null."""
+        value = self.cell(key)
+        return None if value is None else convert(value)

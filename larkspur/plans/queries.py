@@ -13,7 +13,6 @@ from larkspur.functions import scalars as S
 from larkspur.operators import compare as C
 from larkspur.operators import summarize as A
 from larkspur.operators.selection import RowSelection, select_columns, select_names
-from larkspur.sources.sinks import row_group_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -315,14 +314,6 @@ def agg_9_status_counts(spark, d):
     return A.status_counts(t(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
 
 
-@query("SELECT c_custkey, CAST(greatest(1, least(1000000 // (8 + (c_custkey % 100)), 262144, 5000)) AS BIGINT) AS rows FROM customer")
-def snk_4_row_group_rows(spark, d):
-    """The formula of row_group_rows as an expression, for widths of 8 and c_custkey % 100 bytes."""
-    assert row_group_rows([8, 5], 5000, 1_000_000) == 5000
-    rows = F.greatest(F.lit(1), F.least(F.floor(F.lit(1_000_000) / (F.col("c_custkey") % 100 + 8)), F.lit(262_144), F.lit(5000)))
-    return t(spark, d, "customer").select("c_custkey", rows.cast("bigint").alias("rows"))
-
-
 # --- D: comparison ------------------------------------------------------------------------------------------------------
 
 
@@ -412,6 +403,12 @@ def _read(spark: SparkSession, path: str, **options) -> DataFrame:
 
 @query(_CUSTOMER)
 def src_10_table_scan(spark, d):
+    return _read(spark, _encoded(spark, d, "customer"))
+
+
+@query(_CUSTOMER)
+def src_10_split_scan(spark, d):
+    """One file in many partitions."""
     return _read(spark, _encoded(spark, d, "customer"), partitionBytes=65536)
 
 
@@ -529,3 +526,6 @@ def builtin_rollup(spark, d):
 def builtin_group(spark, d):
     df = t(spark, d, "lineitem").filter("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'")
     return df.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+
+
+from larkspur.plans import format_queries  # noqa: E402,F401  adds its queries

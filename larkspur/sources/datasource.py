@@ -5,13 +5,16 @@ row).  Python sources get no column list from Catalyst, so `columns` (or a schem
 
 Options: columns (comma-separated names), skipRows, maxRows, rowId (adds _row_id), sourcePath (adds _source_path),
 missingTags (adds <column>__missing for numbers), blankAs (null, empty), temporalErrors (null, fail), fixMojibake,
-dates (false: numbers as they are), partitionBytes, batchRows, mode (FAILFAST, PERMISSIVE: files that fail are skipped).
+dates (false: numbers as they are), partitionBytes, batchRows, mode (FAILFAST, PERMISSIVE: files that fail are skipped),
+metadataIoMode (auto, full, streaming).  Of files of many pages, `read_table` lets tasks read the page headers first and
+hands their row counts to the source (option pagePlan).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,12 @@ from larkspur.errors import InvalidMetadata, SelectionError, TableError, warn
 from larkspur.sources.catalog import read_catalog
 from larkspur.sources.decode import ColumnDecoder, rows_of_page
 from larkspur.sources.files import CATALOG_EXT, TABLE_EXT, discover, opener
-from larkspur.sources.layout import Layout, Variable, read_layout, resolve_name
+from larkspur.sources.layout import Layout, Variable, parse_header, read_layout, resolve_name, scan_heads, stated_rows
 
 KIND_TYPES = {"character": T.StringType(), "double": T.DoubleType(), "date": T.DateType(), "datetime": T.TimestampType(), "time": T.DayTimeIntervalType()}
 PARTITION_BYTES, BATCH_ROWS = 64 << 20, 65_536
+#: Of files with more pages, tasks read the page headers (option pagesPerTask of read_table).
+PLAN_PAGES = 1 << 14
 
 
 class Options(dict):
@@ -82,7 +87,9 @@ def table_schema(layout: Layout, options: dict) -> T.StructType:
 @dataclass
 class Pages(InputPartition):
     path: str
-    pages: list  # (page, rows, first row)
+    pages: list  # (page, rows, first row), or one (first page, end, first row) of a planned range
+    layout: Layout | None = None  # without pages, so that tasks needn't scan the file
+    planned: bool = False
 
 
 class TableReader(DataSourceReader):
@@ -95,26 +102,39 @@ class TableReader(DataSourceReader):
         out: list[InputPartition] = []
         size = int(self.options.get("partitionBytes", PARTITION_BYTES))
         skip, most = int(self.options.get("skipRows", 0)), int(self.options.get("maxRows", -1))
+        plans = json.loads(self.options.get("pagePlan", "{}"))
         for path in self.paths:
+            plan = plans.get(path)
             try:
-                layout = read_layout(opener(path))
+                layout = read_layout(opener(path), io_mode=self.options.get("metadataIoMode", "auto").lower(), with_pages=plan is None, only=plan and plan["meta"])
             except TableError as e:
                 if self.options.get("mode", "FAILFAST").upper() != "PERMISSIVE":
                     raise
                 warn(str(e), path)
                 continue
             end = layout.row_count if most < 0 else skip + most
+            bare = replace(layout, pages=[])
+            if plan is not None:
+                ends = [c[2] for c in plan["ranges"][1:]] + [layout.row_count]
+                out += [Pages(path, [tuple(c)], bare, True) for c, e in zip(plan["ranges"], ends, strict=True) if c[2] < end and e > skip]
+                continue
             kept = [p for p in layout.pages if p[2] + p[1] > skip and p[2] < end]  # pages outside the window aren't read
             step = max(1, size // layout.header.page_size)
-            out += [Pages(path, kept[i : i + step]) for i in range(0, len(kept), step)]
+            out += [Pages(path, kept[i : i + step], bare) for i in range(0, len(kept), step)]
         return out or [Pages("", [])]
 
     def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         if not partition.pages:
             return
-        read = opener(partition.path)
-        layout = read_layout(read, with_pages=False)
-        yield from decode_pages(layout, read, partition.pages, self.names, self.options, partition.path)
+        read, layout, pages = opener(partition.path), partition.layout, partition.pages
+        if partition.planned:
+            (low, high, first), pages = partition.pages[0], []
+            for i, n in stated_rows(layout, read, low, high):
+                n = min(n, layout.row_count - first)
+                if n > 0:
+                    pages.append((i, n, first))
+                    first += n
+        yield from decode_pages(layout, read, pages, self.names, self.options, partition.path)
 
 
 def decode_pages(layout: Layout, read, pages: list, names: list[str], options: dict, path: str = "") -> Iterator[pa.RecordBatch]:
@@ -168,8 +188,6 @@ def _paths(options: dict, ext: str) -> list[str]:
     asked = options.get("paths") or options.get("path")
     if not asked:
         raise InvalidMetadata("no path given")
-    import json
-
     asked = json.loads(asked) if asked.startswith("[") else [asked]
     found = discover(asked, ext)
     if not found:
@@ -185,7 +203,9 @@ class TableSource(DataSource):
     def schema(self) -> T.StructType:
         for path in _paths(self.options, TABLE_EXT):
             try:
-                return table_schema(read_layout(opener(path), with_pages=False), self.options)
+                plan = json.loads(self.options.get("pagePlan", "{}")).get(path)
+                mode = self.options.get("metadataIoMode", "auto").lower()
+                return table_schema(read_layout(opener(path), with_pages=False, io_mode=mode, only=plan and plan["meta"]), self.options)
             except TableError as e:
                 if self.options.get("mode", "FAILFAST").upper() != "PERMISSIVE":
                     raise
@@ -224,6 +244,49 @@ class CatalogSource(DataSource):
         return CatalogReader(self.options)
 
 
+def read_raw_rows(spark: SparkSession, path: str) -> DataFrame:
+    """_row_id and raw (binary, row_length bytes) of every row, for kernels of one's own; `raw_cells` cuts columns out."""
+    layout = read_layout(opener(path))
+    step = max(1, PARTITION_BYTES // layout.header.page_size)
+    parts = [layout.pages[i : i + step] for i in range(0, len(layout.pages), step)]
+    bare = replace(layout, pages=[])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, h = opener(path), bare.header
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                for page, n, first in parts[k]:
+                    rows = rows_of_page(bare, read(h.size + page * h.page_size, h.page_size), n)
+                    width = rows.shape[1]
+                    raw = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(rows)), pa.int64()), raw], names=["_row_id", "raw"])
+
+    return spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(run, "_row_id long, raw binary")
+
+
+def raw_cells(rows: DataFrame, layout: Layout, name: str) -> DataFrame:
+    """_row_id, cell (the column's stored bytes) and, for numbers, bits (of the double, as bigint)."""
+    from pyspark.sql import functions as F
+
+    at = resolve_name([v.name for v in layout.variables], name)
+    if at < 0:
+        raise SelectionError(f"unknown column {name!r}")
+    v = layout.variables[at]
+    cell = F.substring("raw", v.offset + 1, v.width)
+    out = rows.select("_row_id", cell.alias("cell"))
+    if not v.numeric:
+        return out
+    # the bytes kept are the high-order ones
+    pad = F.lit(bytes(8 - v.width))
+    order = F.concat(pad, F.col("cell")) if layout.header.little else F.concat(F.col("cell"), pad)
+    hexed = F.hex(order)
+    if layout.header.little:
+        hexed = F.concat(*(F.substring(hexed, 2 * k + 1, 2) for k in range(7, -1, -1)))
+    high = F.conv(F.substring(hexed, 1, 8), 16, 10).cast("bigint")
+    low = F.conv(F.substring(hexed, 9, 8), 16, 10).cast("bigint")
+    return out.withColumn("bits", F.shiftleft(high, 32).bitwiseOR(low))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TableSource)
     spark.dataSource.register(CatalogSource)
@@ -231,13 +294,73 @@ def register(spark: SparkSession) -> None:
 
 def read_table(spark: SparkSession, path: str | list[str], *, columns: list[str] | None = None, **options) -> DataFrame:
     """Reads one table, or all tables below folders (which share the first one's columns)."""
-    import json
-
     register(spark)
     reader = spark.read.format("stattable").options(**{k: str(v) for k, v in options.items()})
     if columns:
         reader = reader.option("columns", ",".join(columns))
-    return reader.option("paths", json.dumps([path] if isinstance(path, str) else path)).load()
+    asked = [path] if isinstance(path, str) else path
+    step = int(Options(options).get("pagesPerTask", PLAN_PAGES))
+    plans = {}
+    for p in discover(asked, TABLE_EXT):
+        try:
+            header = parse_header(opener(p), catalog=False)
+        except TableError:
+            continue  # the source reports it
+        if header.page_count > step:
+            plans[p] = plan_pages(spark, p, header.page_count, max(1, min(step, int(Options(options).get("partitionBytes", PARTITION_BYTES)) // header.page_size)))
+    if plans:
+        reader = reader.option("pagePlan", json.dumps(plans))
+    return reader.option("paths", json.dumps(asked)).load()
+
+
+def plan_pages(spark: SparkSession, path: str, page_count: int, step: int) -> dict:
+    """meta: pages that hold metadata; ranges: (first page, end, first row).  Page headers are read by tasks.
+
+    The driver gets the numbers of pages that aren't plain data, and one row count for each range.
+    """
+    slots = max(1, min(-(-page_count // step), 4 * spark.sparkContext.defaultParallelism))
+    ranges = spark.range(0, page_count, step, slots)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = opener(path)
+        h = parse_header(read, catalog=False)
+        for batch in batches:
+            found = [i for a in batch.column("id").to_pylist() for i in scan_heads(h, read, a, a + step)[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["page"])
+
+    others = sorted(r["page"] for r in ranges.mapInArrow(heads, "page long").collect())
+    layout = read_layout(opener(path), with_pages=False, only=others)
+    h = layout.header
+    # pages of row pointers hold no metadata: what is needed later is only where metadata stands
+    meta = others if layout.compression == "none" else others[: max(1, _last_meta(layout, path, others))]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = opener(path)
+        for batch in batches:
+            first = batch.column("id").to_pylist()
+            n = [sum(k for _, k in stated_rows(layout, read, a, a + step)) for a in first]
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["first", "n"])
+
+    out, at = [], 0
+    for r in sorted(ranges.mapInArrow(rows, "first long, n long").collect()):
+        if r["n"]:
+            out.append((r["first"], min(r["first"] + step, h.page_count), at))
+            at += r["n"]
+    return {"meta": meta, "ranges": out}
+
+
+def _last_meta(layout: Layout, path: str, pages: list[int]) -> int:
+    """How many of these pages come up to the last one that adds to the metadata."""
+    read, whole = opener(path), [(v.name, v.label, v.format) for v in layout.variables]
+    low, high = 1, len(pages)
+    while low < high:
+        middle = (low + high) // 2
+        try:
+            found = [(v.name, v.label, v.format) for v in read_layout(read, with_pages=False, only=pages[:middle]).variables]
+        except TableError:
+            found = []
+        low, high = (low, middle) if found == whole else (middle + 1, high)
+    return low
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -255,7 +378,7 @@ def read_table_bytes(files: DataFrame, schema: T.StructType, **options) -> DataF
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 read = memory(content.as_py())
-                layout = read_layout(read)
+                layout = read_layout(read, io_mode=opts.get("metadataIoMode", "auto").lower())
                 yield from decode_pages(layout, read, layout.pages, names, opts, path.as_py())
 
     return files.select("path", "content").mapInArrow(run, schema)

@@ -81,7 +81,7 @@ def write_table(
     path: str, columns: list[Column], *, wide: bool = True, little: bool = True, pad: bool = True, compression: str = "none",
     page_size: int = 8192, encoding: int = 20, name: str = "TABLE", label: str = "", mix: bool = False,
 ) -> None:
-    """Writes a table.  mix: the first rows share the last meta page."""
+    """Writes a table.  mix: the first rows share the last meta page.  compression "raw": rows as they are, behind pointers."""
     e, s = "<" if little else ">", 8 if wide else 4
     codec = ENCODINGS[encoding][1] or "utf-8"
     rows, offsets = rows_bytes(columns, little, codec)
@@ -107,7 +107,7 @@ def write_table(
         blobs[-1] += raw.ljust(-(-len(raw) // 4) * 4)
         return len(blobs) - 1, at, len(raw)
 
-    comp_ref = put({"none": "", "rle": "SASYZCRL", "rdc": "SASYZCR2"}[compression])
+    comp_ref = put({"none": "", "rle": "SASYZCRL", "rdc": "SASYZCR2", "raw": "SASYZCRL"}[compression])
     label_ref = put(label)
     refs = [(put(c[0]), put(c[3]), put(c[4])) for c in columns]
     ref = lambda r: struct.pack(e + "3H", *r)
@@ -178,7 +178,7 @@ def write_table(
         for i in range(done, n, per):
             page(0x100, len(rows[i : i + per]), [], rows[i : i + per].tobytes())
     else:
-        pack, parts, used = _rle if compression == "rle" else _rdc, [], head
+        pack, parts, used = {"rle": _rle, "rdc": _rdc, "raw": bytes}[compression], [], head
         for i in range(n):
             raw = pack(rows[i].tobytes())
             raw = raw if len(raw) < length else rows[i].tobytes()

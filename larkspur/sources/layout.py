@@ -8,6 +8,7 @@ import struct
 from dataclasses import dataclass, field
 
 from larkspur.errors import Corrupted, InvalidMetadata, Unsupported, warn
+from larkspur.functions.formats import FORMAT_KINDS
 
 #: Fixed values of the format: magic numbers of tables and of label catalogs.
 MAGIC_TABLE = bytes.fromhex("000000000000000000000000c2ea8160b31411cfbd92080009c7318c181f1011")
@@ -125,15 +126,29 @@ class Layout:
 def infer_kind(format_name: str) -> str:
     """double, date, datetime or time, from the name of a numeric variable's format."""
     name = (format_name or "").strip().strip(".").strip().upper()
-    if "DATETIME" in name or name.startswith(("DT", "E8601DT", "B8601DT")) or name.endswith("DT"):
-        return "datetime"
-    if "TIME" in name or name.endswith("TM") or name.startswith(("E8601TM", "HHMM")):
-        return "time"
-    if any(x in name for x in ("DATE", "YY", "MON", "WEEK", "YEAR", "MINGUO")) or name.endswith("DA") or name.startswith(("E8601DA", "B8601DA")):
-        return "date"
+    for kind, inside, starts, ends in FORMAT_KINDS:
+        if any(x in name for x in inside) or name.startswith(starts) or name.endswith(ends):
+            return kind
     return "double"
 
 
+#: Names of Macintosh encodings that Python spells otherwise.
+MAC_NAMES = {"macroman": "mac-roman", "macarabic": "mac-arabic", "macgreek": "mac-greek", "macturkish": "mac-turkish", "macukraine": "mac-cyrillic", "maccyrillic": "mac-cyrillic", "maciceland": "mac-iceland", "maccroatian": "mac-croatian", "macromania": "mac-romanian", "macintosh": "mac-roman"}
+
+
+def resolve_encoding(label: str) -> str:
+    """Python codec of an encoding's name: any case, _ for -, names of Macintosh encodings; UTF-8 if there is none."""
+    import codecs
+
+    name = label.strip().lower().replace("_", "-")
+    for x in (MAC_NAMES.get(name, name), name.replace("windows-", "cp")):
+        try:
+            return codecs.lookup(x).name
+        except LookupError:
+            continue
+    return "utf-8"
+
+
 def decode_text(raw: bytes, codec: str | None) -> str:
     """Trailing blanks and NULs go; UTF-8 if it is valid, else the declared encoding, else with replacements."""
     raw = raw.rstrip(b" \0")
@@ -294,14 +309,80 @@ class _Text:
         return decode_text(self.blobs[index][offset : offset + length], self.codec)
 
 
-def read_layout(read, *, with_pages: bool = True) -> Layout:
-    """Header, column metadata of all meta pages in file order, and (page, rows, first row) of every page with rows."""
+#: Fixed value: up to this page size, mode "auto" reads meta pages whole.
+FULL_PAGE = 32 << 10
+IO_MODES = ("auto", "full", "streaming")
+
+
+def meta_page(h: Header, read, i: int, io_mode: str) -> bytes:
+    """A meta page: whole, or ("streaming") only its pointers and what they point to, the rest as zeros.
+
+    "auto" reads it whole if it is small, or if its subheaders fill half of it.
+    """
+    at = h.size + i * h.page_size
+    if io_mode == "full" or io_mode == "auto" and h.page_size <= FULL_PAGE:
+        return read(at, h.page_size)
+    head = read(at, h.page_header)
+    subheaders = min(struct.unpack_from(h.order + "H", head, h.page_header - 4)[0], (h.page_size - h.page_header) // h.pointer)
+    table = read(at + h.page_header, subheaders * h.pointer)
+    page = bytearray(h.page_size)
+    page[: len(head)] = head
+    page[h.page_header : h.page_header + len(table)] = table
+    wanted = [p for p in page_parts(h, bytes(page))[2] if p.compression == 0 and in_page(h, p)]
+    if io_mode == "auto" and 2 * sum(p.length for p in wanted) >= h.page_size:
+        return read(at, h.page_size)
+    for p in wanted:
+        page[p.offset : p.offset + p.length] = read(at + p.offset, p.length)
+    return bytes(page)
+
+
+def scan_heads(h: Header, read, first: int, end: int) -> tuple[list[int], list[int]]:
+    """Of pages first..end: those that may hold metadata or row pointers, and those with a data area only."""
+    meta, data = [], []
+    for i in range(first, min(end, h.page_count)):
+        head = read(h.size + i * h.page_size, h.page_header)
+        if len(head) < h.page_header:
+            break
+        kind, _, subheaders = struct.unpack_from(h.order + "3H", head, h.page_header - 8)
+        name = page_kind(kind)
+        if name in ("comp", "comp_table", "unknown"):
+            continue
+        (data if name == "data" and not subheaders else meta).append(i)
+    return meta, data
+
+
+def stated_rows(layout: Layout, read, first: int, end: int) -> list[tuple[int, int]]:
+    """(page, rows) of the pages first..end that hold rows, as their own headers state."""
+    h, out = layout.header, []
+    for i in range(first, min(end, h.page_count)):
+        head = read(h.size + i * h.page_size, h.page_header)
+        if len(head) < h.page_header:
+            break
+        kind, _, subheaders = struct.unpack_from(h.order + "3H", head, h.page_header - 8)
+        name = page_kind(kind)
+        if name in ("comp", "comp_table", "unknown"):
+            continue
+        page = head if name == "data" and not subheaders else read(h.size + i * h.page_size, h.page_size)
+        name, blocks, pointers = page_parts(h, page)
+        n = page_rows(layout, name, blocks, page, pointers, layout.row_count)[1]
+        if n > 0:
+            out.append((i, n))
+    return out
+
+
+def read_layout(read, *, with_pages: bool = True, io_mode: str = "auto", only: list[int] | None = None) -> Layout:
+    """Header, column metadata of all meta pages in file order, and (page, rows, first row) of every page with rows.
+
+    io_mode: how meta pages are read (meta_page); it doesn't change what is found.  only: the pages with metadata, if known.
+    """
+    if io_mode not in IO_MODES:
+        raise InvalidMetadata(f"unknown metadata mode {io_mode!r}")
     h = parse_header(read, catalog=False)
     layout, text = Layout(h), _Text(h.codec)
     row_sizes, names, attrs, formats, n_columns = [], [], [], [], 0
     s = h.signature
     scanned: list[tuple[int, bytes]] = []
-    for i in range(h.page_count):
+    for i in range(h.page_count) if only is None else only:
         head = read(h.size + i * h.page_size, h.page_header)
         if len(head) < h.page_header:
             break
@@ -311,7 +392,7 @@ def read_layout(read, *, with_pages: bool = True) -> Layout:
         if kind == "data" and not struct.unpack_from(h.order + "H", head, h.page_header - 4)[0]:
             scanned.append((i, head))
             continue
-        page = read(h.size + i * h.page_size, h.page_size)
+        page = meta_page(h, read, i, io_mode)
         scanned.append((i, page))
         _, _, pointers = page_parts(h, page)
         for p in pointers:

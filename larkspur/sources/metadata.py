@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.sources.datasource import variable_metadata
 from larkspur.sources.files import opener
-from larkspur.sources.layout import in_page, page_parts, read_layout
+from larkspur.sources.layout import RELEASE, in_page, page_parts, read_layout
 
 _TABLE = (
     "path string, row_count bigint, column_count int, table_name string, file_label string, encoding string, vendor string, compression string, "
@@ -60,3 +62,36 @@ def inspect(path: str) -> dict:
     m = read_layout(opener(path), with_pages=False)
     columns = [{"index": v.index, "name": v.name.rstrip(), "label": v.label or None, "kind": v.kind, "format": v.format.strip() or None, "width": v.width} for v in m.variables]
     return {"row_count": m.row_count, "column_count": len(columns), "table_name": m.header.table_name, "columns": columns}
+
+
+def metadata_json(path: str) -> str:
+    """Metadata of a table as JSON: counts, names, encoding, origin, times, names and types of columns."""
+    m = read_layout(opener(path), with_pages=False)
+    h = m.header
+    release = RELEASE.match(h.release)
+    version = {"major": int(release[1]) if release[1].isdigit() else 9, "minor": int(release[2]), "revision": int(release[4])} if release else None
+    return json.dumps(
+        {
+            "row_count": m.row_count, "column_count": len(m.variables), "table_name": h.table_name, "file_label": m.file_label or None, "file_encoding": h.encoding,
+            "vendor": h.vendor, "compression": m.compression, "endianness": "little" if h.little else "big", "version": version,
+            "timestamps": {"created": h.created and h.created.isoformat(), "modified": h.modified and h.modified.isoformat()},
+            "columns": {"names": [v.name.rstrip() for v in m.variables], "types": ["numeric" if v.numeric else "character" for v in m.variables]},
+        },
+        ensure_ascii=False,
+    )
+
+
+def result_attributes(path: str) -> dict:
+    """column_types and row_count of a table, as they go with a result."""
+    m = read_layout(opener(path), with_pages=False)
+    return {"column_types": {v.name.rstrip(): v.kind for v in m.variables}, "row_count": m.row_count}
+
+
+def describe_columns(df: DataFrame) -> DataFrame:
+    """index, name, label, kind, format, width, value_labels, missing_tags of a DataFrame's columns, numbered anew after a projection."""
+    rows = []
+    for i, f in enumerate(df.schema.fields):
+        m = f.metadata
+        rows.append((i, f.name, m.get("label") or None, m.get("sas_kind"), (m.get("format") or "").strip() or None, m.get("storage_width"), m.get("value_labels"), m.get("missing_tags"), m.get("system_missing")))
+    schema = "index int, name string, label string, kind string, format string, width int, value_labels string, missing_tags string, system_missing boolean"
+    return df.sparkSession.createDataFrame(rows, schema)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.errors import SinkError
+from larkspur.functions import scalars as S
 from larkspur.functions.scalars import cell_kind, date_text, datetime_text, number_text, time_text
 from larkspur.operators.selection import quoted
 
@@ -73,10 +77,20 @@ def write_table(df: DataFrame, kind: str, path: str, **options) -> None:
     writers[name](df, path, **options)
 
 
+@dataclass(frozen=True)
+class SinkContext:
+    """What a sink is told at its beginning: names, types and metadata of the columns, and where the rows come from."""
+
+    columns: list[str]
+    types: list[str]
+    metadata: list[dict]
+    source_path: str | None = None
+
+
 class RowSink:
     """Base of user sinks: begin once, write each row, finish; used by stream_into on every partition."""
 
-    def begin(self, columns: list[str]) -> None: ...
+    def begin(self, context: SinkContext) -> None: ...
 
     def write(self, row) -> None:
         raise NotImplementedError
@@ -84,22 +98,113 @@ class RowSink:
     def finish(self) -> None: ...
 
 
-def stream_into(df: DataFrame, make_sink) -> None:
+class BatchSink:
+    """Base of user sinks that take Arrow batches."""
+
+    def begin(self, context: SinkContext) -> None: ...
+
+    def write_batch(self, batch: pa.RecordBatch) -> None:
+        raise NotImplementedError
+
+    def finish(self) -> None: ...
+
+
+class Guard:
+    """Checks the life of a sink: begin, rows, finish; no rows outside, no second begin before finish, whole rows only."""
+
+    def __init__(self, sink):
+        self.sink, self.open, self.width = sink, False, 0
+
+    def begin(self, context: SinkContext) -> None:
+        if self.open:
+            raise SinkError("the sink is in use; finish it first")
+        if not len(context.columns) == len(context.types) == len(context.metadata):
+            raise SinkError("names, types and metadata of the columns differ in number")
+        self.open, self.width = True, len(context.columns)
+        self.sink.begin(context)
+
+    def _check(self, width: int) -> None:
+        if not self.open:
+            raise SinkError("rows before the sink has begun")
+        if width != self.width:
+            raise SinkError(f"row of {width} cells, {self.width} columns")
+
+    def write(self, row) -> None:
+        self._check(len(row))
+        self.sink.write(row)
+
+    def write_batch(self, batch: pa.RecordBatch) -> None:
+        self._check(batch.num_columns)
+        self.sink.write_batch(batch)
+
+    def finish(self) -> None:
+        if not self.open:
+            raise SinkError("finish before the sink has begun")
+        self.open = False
+        self.sink.finish()
+
+
+def sink_context(df: DataFrame, source_path: str | None = None) -> SinkContext:
+    return SinkContext(list(df.columns), [t for _, t in df.dtypes], [dict(f.metadata) for f in df.schema.fields], source_path)
+
+
+def stream_into(df: DataFrame, make_sink, source_path: str | None = None) -> None:
     """Sends each partition's rows to a sink of its own, made by make_sink() where the rows are."""
-    columns = list(df.columns)
+    context = sink_context(df, source_path)
 
     def send(rows: Iterator) -> None:
-        sink = make_sink()
-        sink.begin(columns)
+        sink = Guard(make_sink())
+        sink.begin(context)
         for row in rows:
-            if len(row) != len(columns):
-                raise ValueError(f"row of {len(row)} cells, {len(columns)} columns")
             sink.write(row)
         sink.finish()
 
     df.foreachPartition(send)
 
 
+def stream_batches_into(df: DataFrame, make_sink, source_path: str | None = None) -> int:
+    """Sends each partition's Arrow batches to a sink of its own; how many rows went."""
+    context = sink_context(df, source_path)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink, n = Guard(make_sink()), 0
+        sink.begin(context)
+        for batch in batches:
+            sink.write_batch(batch)
+            n += batch.num_rows
+        sink.finish()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return df.mapInArrow(send, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def coerce(c: Column, type_name: str, target: str) -> Column:
+    """A cell as another kind of column takes it: number, date, timestamp, time (microseconds) or utf8.
+
+    Text is trimmed and parsed, empty text is null.  Dates, datetimes and times become their days or seconds since 1960
+    as numbers; numbers are read as days or seconds where a date, datetime or time is asked for.  A bigint beyond 2**53
+    is no number.
+    """
+    kind = cell_kind(type_name)
+    if target == "utf8":
+        return F.when(c.isNotNull(), cell_text(c, type_name))
+    if kind in ("string", "bytes"):
+        number = S.parse_double(c.cast("string"))
+    elif type_name == "bigint":
+        number = S.safe_double(c, strict=False)
+    else:
+        number = S.cell_number(c, type_name)
+    if target == "number":
+        return number
+    if target == "date":
+        return S.as_date(c, type_name) if kind in ("date", "datetime") else S.days_to_date(number)
+    if target == "timestamp":
+        return c.cast("timestamp") if kind in ("date", "datetime") else S.seconds_to_timestamp(number)
+    if target == "time":
+        return S.seconds_to_micros(number)
+    raise ValueError(f"unknown target {target!r}")
+
+
 def output_path(root: str, source: str, ext: str, *, out: str | None = None, out_dir: str | None = None, flatten: bool = False) -> str:
     """Where a source file's output goes: out itself, below out_dir (as the tree, or flat), or beside the source."""
     if out:
