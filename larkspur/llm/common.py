@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: blank and U+0009..U+000D.
@@ -28,10 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Fewer rows in an Arrow batch than Spark's default: a batch of whole texts has to fit a worker."""
+def small_batches(spark: SparkSession, rows: int = 512, size_mb: int = 16) -> None:
+    """Fewer rows and bytes in an Arrow batch than Spark's default: a batch of whole texts has to fit a worker.
+
+    Plans run later than they are made, so the session keeps the smaller limits.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size_mb}m")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,12 +86,49 @@ class Workspace:
             pass
 
 
-def doc_key(id_col: str, text_col: str) -> list:
+def id_type(df: DataFrame, id_col: str) -> str:
+    """bigint or string: how an id is held inside.  Other kinds of ids are an error."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return "bigint"
+    if kind == "string":
+        return "string"
+    raise TypeError(f"ids are whole numbers or texts, not {kind}")
+
+
+def id_key(df: DataFrame, id_col: str) -> Column:
+    """The id as a join key: never null, and a null id is smaller than all others."""
+    if id_type(df, id_col) == "bigint":
+        return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    return F.coalesce(F.concat(F.lit("="), F.col(id_col)), F.lit(""))
+
+
+def id_back(df: DataFrame, id_col: str, key: str = "_d") -> Column:
+    """The id that a key stands for."""
+    if id_type(df, id_col) == "bigint":
+        return F.nullif(F.col(key), F.lit(NO_ID)).cast(df.schema[id_col].dataType)
+    return F.when(F.col(key) != "", F.substring(F.col(key), 2, (1 << 31) - 1))
+
+
+def doc_key(df: DataFrame, id_col: str, text_col: str) -> list:
     """Columns (_d, _t) that tell rows apart even if ids repeat or are null; equal rows share them."""
-    return [
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_d"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"),
-    ]
+    return [id_key(df, id_col).alias("_d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")]
+
+
+#: At most so many keys are called hot, and their rows of the small side are broadcast.
+HOT_KEYS = 256
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of left with right, which has one row for each key.  No key's rows meet in one task.
+
+    weight: a column of right, how many rows of left its key has; total: rows of left.  Keys that have a HOT_KEYS-th of
+    all rows are at most HOT_KEYS many, whatever the data, so their rows of right are broadcast and left's stay in place.
+    """
+    bar = max(total // HOT_KEYS, 1) + 1
+    hot = F.broadcast(right.filter(F.col(weight) >= bar))
+    cold = left.join(hot.select(*keys), keys, "left_anti").join(right.filter(F.col(weight) < bar), keys)
+    return left.join(hot, keys).unionByName(cold)
 
 
 def text_bytes(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,11 +184,12 @@ class RangeHash:
     _powers: dict = {}
 
     def __init__(self, data: np.ndarray, lane: int = 0):
+        """data: bytes, or 64-bit codes of whatever the ranges are made of."""
         n = len(data)
         power, inverse = self._tables(lane, n + 1)
         self.inverse = inverse
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_CODES[lane][data] * power[:n], out=self.prefix[1:])
+        np.cumsum((BYTE_CODES[lane][data] if data.dtype == np.uint8 else data) * power[:n], out=self.prefix[1:])
 
     @classmethod
     def _tables(cls, lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,17 +5,19 @@ many to sort, so the suffix array is sparse: of the `length`-byte window at ever
 smallest q-gram hash in it (its minimizer) is kept.  Equal windows choose the same suffix at the same distance, so no
 repeated window is lost.
 
-* Initial buckets: suffixes by q-gram.  A bucket whose members have one continuation each is finished.
-* Refinement: a bucket is split by the bucket identifiers of later (and, to reach back to the first window that chose
-  the suffix, earlier) offsets.  An identifier is the fingerprint of what it stands for, so it can be reused for any
-  longer range without being looked up; one sort on (bucket, refined identifier) names the whole stretch of windows
-  that share a suffix.  Stretches that occur twice are settled as a whole: all their windows are repeated.
-* Recursion: only buckets that hold several different stretches stay open.  Of each such stretch one member is split
-  further, into blocks of `BLOCK` windows (bucket: what all windows of the block share; refined identifier: all they
-  cover), and what is still open then into single windows; members that were settled keep what they have.
-
-Bucket and refined identifier have 64 bits each and count together.  A bucket is never gathered in a task: buckets are counted by two-step aggregation and
-members learn the outcome by equi-joins on identifiers, whose other side has one row for each identifier.
+* Initial buckets: suffixes by q-gram.  A bucket's identifier is the key under which its suffixes meet.
+* Refinement: suffixes of a bucket are sorted by (identifier of their bucket, identifier of the bytes at the later and
+  earlier offsets that their windows take in).  Suffixes that stay together have all these windows in common: they are
+  settled, and so are buckets in which every suffix goes on differently from the others but for one.
+* Recursion: only buckets that hold several continuations stay open.  Their suffixes take the bucket's identifier along
+  and are refined at nearer offsets: for blocks of `BLOCK` windows the new bucket is (identifier carried, place of the
+  block, identifier of the bytes that all its windows share), sorted by the identifier of all bytes they cover; blocks
+  that are still open then carry their bucket's identifier on to single windows.  Of suffixes that stayed together one
+  goes on for all; what is settled isn't looked at again.
+
+Identifiers of byte ranges are 64 bits of BLAKE2b where they decide equality (together with the 64 bits of the bucket),
+so no text is fetched to compare bytes.  A bucket is never gathered in a task: buckets are counted by two-step aggregation
+and members learn the outcome by equi-joins on identifiers, whose other side has one row for each identifier.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import NO_ID, RangeHash, Workspace, doc_key, mix64, signed, slices, small_batches, text_bytes
+from larkspur.llm.common import RangeHash, Workspace, doc_key, id_back, id_type, mix64, signed, slices, small_batches, text_bytes
 
 #: Bytes of the q-grams that make the initial buckets.
 QGRAM = 96
@@ -49,8 +51,14 @@ def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFFFF)
 
 
+def identifiers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2b of each byte range."""
+    raw, digest = memoryview(data), hashlib.blake2b
+    return np.frombuffer(b"".join([digest(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.int64)
+
+
 def stretches(data: np.ndarray, offs: np.ndarray, length: int, q: int) -> dict[str, np.ndarray]:
-    """Windows by the suffix they choose: text number, first and last window start, the suffix, its bucket, refined identifier."""
+    """Windows by the suffix they choose: text number, first and last window start, the suffix, its bucket, identifier of all bytes."""
     lens = np.diff(offs)
     empty = {k: np.zeros(0, np.int64) for k in ("row", "first", "last", "anchor", "bucket", "u")}
     if not (lens >= length).any():
@@ -73,29 +81,33 @@ def stretches(data: np.ndarray, offs: np.ndarray, length: int, q: int) -> dict[s
     base = offs[:-1][row[first]]
     return {
         "row": row[first], "first": a - base, "last": b - base, "anchor": pick[first] - base,
-        "bucket": signed(bucket[pick[first]]), "u": signed(lane.of(a, b + length)),
+        "bucket": signed(bucket[pick[first]]), "u": identifiers(data, a, b + length),
     }
 
 
-def blocks(lane: RangeHash, base: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, length: int, size: int) -> dict[str, np.ndarray]:
-    """Stretches cut at multiples of `size` bytes before their anchor, so that equal windows fall into equal blocks."""
+def blocks(data: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, carried: np.ndarray, length: int, size: int) -> dict[str, np.ndarray]:
+    """Stretches cut at multiples of `size` bytes before their anchor, so that equal windows fall into equal blocks.
+
+    carried: identifiers of the buckets that the stretches come from.
+    """
     low, high = (anchor - last) // size, (anchor - first) // size
     n = high - low + 1
     of = np.repeat(np.arange(len(first)), n)
     j = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + low[of]
     top = anchor[of] - j * size  # last window of the whole block
     a, b = np.maximum(first[of], top - size + 1), np.minimum(last[of], top)
-    at = base[of]
-    return {"of": of, "first": a, "last": b, "anchor": anchor[of], "bucket": signed(lane.of(at + top, at + top - size + 1 + length)), "u": signed(lane.of(at + a, at + b + length))}
+    shared = RangeHash(data).of(top, top - size + 1 + length)
+    bucket = mix64(mix64(carried[of].view(np.uint64) ^ mix64(j.astype(np.uint64) + np.uint64(1))) ^ shared)
+    return {"of": of, "first": a, "last": b, "anchor": anchor[of], "bucket": signed(bucket), "u": identifiers(data, a, b + length)}
 
 
-ROWS = "_d long, _t long, first int, last int, anchor int, weight int, bucket long, u long"
+ROWS = "_t long, first int, last int, anchor int, weight int, bucket long, u long"
 
 
 def _rows(d: pa.Array, t: pa.Array, found: dict[str, np.ndarray], weight: np.ndarray) -> pa.RecordBatch:
     ints = [pa.array(x, pa.int32()) for x in (found["first"], found["last"], found["anchor"], weight)]
     return pa.RecordBatch.from_arrays(
-        [d, t, *ints, pa.array(found["bucket"], pa.int64()), pa.array(found["u"], pa.int64())], names=[x.split()[0] for x in ROWS.split(", ")]
+        [d, t, *ints, pa.array(found["bucket"], pa.int64()), pa.array(found["u"], pa.int64())], names=["_d", *(x.split()[0] for x in ROWS.split(", "))]
     )
 
 
@@ -126,15 +138,14 @@ def _unpack(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _find_blocks(length: int, size: int):
-    """Blocks of the stretches in column `open` (first, last, anchor, weight)."""
+    """Blocks of the stretches in column `open` (first, last, anchor, weight, bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(_unpack(batch)):
-                lane = RangeHash(np.frombuffer(text, np.uint8))
                 flat = batch.column("open").slice(i, 1).flatten()
-                first, last, anchor, weight = (np.asarray(flat.field(k), dtype=np.int64) for k in range(4))
-                found = blocks(lane, np.zeros(len(first), np.int64), first, last, anchor, length, size)
+                first, last, anchor, weight, carried = (np.asarray(flat.field(k), dtype=np.int64) for k in range(5))
+                found = blocks(np.frombuffer(text, np.uint8), first, last, anchor, carried, length, size)
                 row = pa.array(np.full(len(found["of"]), i))
                 yield _rows(batch.column("_d").take(row), batch.column("_t").take(row), found, weight[found["of"]])
 
@@ -182,27 +193,30 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Returns id, n_bytes, n_removed, spans (array of start, end in bytes, maximal), kept (binary), kept_sha256.
 
     Null text: as an empty one.  Texts shorter than `length` and empty tables have nothing to remove.  Rows that repeat
-    id and text are repeats of each other.  A null id is kept as it is.  Other columns of docs are ignored.
+    id and text are repeats of each other, and all lose what repeats; there are no ties to break.  Ids are whole numbers
+    or texts; a null id is kept as it is.  Of a very long text a task holds the text and some arrays of 8 bytes for each
+    of its bytes.  Other columns of docs are ignored, whatever their names.
     """
     if not 0 < q <= length:
         raise ValueError("q must be between 1 and length")
     small_batches(docs.sparkSession)
     workspace = workspace or Workspace(docs.sparkSession, "suffix")
-    base = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("_text"))
+    kind = f"_d {id_type(docs, id_col)}, "
+    base = docs.select(*doc_key(docs, id_col, text_col), F.col(text_col).alias("_text"))
     key = ["_d", "_t"]
-    spread = base.mapInArrow(_pack, "_d long, _t long, _size long, _packed binary")  # texts move compressed
-    lists = lambda rows: rows.groupBy(*key).agg(F.collect_list(F.struct("first", "last", "anchor", "weight")).alias("open"))
+    spread = base.mapInArrow(_pack, kind + "_t long, _size long, _packed binary")  # texts move compressed
+    lists = lambda rows: rows.groupBy(*key).agg(F.collect_list(F.struct("first", "last", "anchor", "weight", "bucket")).alias("open"))
 
-    found = base.filter(F.octet_length("_text") >= length).mapInArrow(_find_stretches(length, q), ROWS)
+    found = base.filter(F.octet_length("_text") >= length).mapInArrow(_find_stretches(length, q), kind + ROWS)
     whole, opened = _settle(found, workspace)
     texts = workspace.store(spread.join(lists(opened), key))
-    some, opened = _settle(texts.mapInArrow(_find_blocks(length, BLOCK), ROWS), workspace)
-    single, _ = _settle(texts.drop("open").join(lists(opened), key).mapInArrow(_find_blocks(length, 1), ROWS), workspace)
+    some, opened = _settle(texts.mapInArrow(_find_blocks(length, BLOCK), kind + ROWS), workspace)
+    single, _ = _settle(texts.drop("open").join(lists(opened), key).mapInArrow(_find_blocks(length, 1), kind + ROWS), workspace)
     spans = whole.unionByName(some).unionByName(single).groupBy(*key).agg(F.collect_list(F.struct("a", "b")).alias("found"))
     out = spread.join(spans, key, "left").mapInArrow(
-        _cut(length), "_d long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary, kept_sha256 string"
+        _cut(length), kind + "n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary, kept_sha256 string"
     )
-    return out.select(F.nullif("_d", F.lit(NO_ID)).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "spans", "kept", "kept_sha256")
+    return out.select(id_back(docs, id_col).alias(id_col), "n_bytes", "n_removed", "spans", "kept", "kept_sha256")
 
 
 def _settle(rows: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -218,6 +232,6 @@ def _settle(rows: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame
     state = named.join(crowded, "bucket", "left").select(*name, "n", F.coalesce("open", F.lit(False)).alias("open")).filter("n > 1 or open")
     marked = workspace.store(rows.join(state, name))
     whole = marked.filter("n > 1 and weight = 1").select(*key, F.col("first").alias("a"), F.col("last").alias("b"))
-    alone = marked.filter("open and n = 1").select(*key, "first", "last", "anchor", "weight")
-    among = marked.filter("open and n > 1").groupBy(*name).agg(F.min(F.struct(*key, "first", "last", "anchor")).alias("m")).select("m.*", F.lit(2).alias("weight"))
+    alone = marked.filter("open and n = 1").select(*key, "first", "last", "anchor", "weight", "bucket")
+    among = marked.filter("open and n > 1").groupBy(*name).agg(F.min(F.struct(*key, "first", "last", "anchor")).alias("m")).select("m.*", F.lit(2).alias("weight"), "bucket")
     return whole, alone.unionByName(among)
