@@ -1,12 +1,15 @@
 """Near-duplicates by MinHash banding, verification on full shingle sets, and large-star/small-star components.
 
 Texts with the same shingle set are one class; only one representative of each class goes further.  Every class has
-`bands` x `rows` universal hash minima; classes that agree on a whole band share a bucket.  A bucket is only a star of
-links to its smallest member, never pairs; components of these stars (by large-star and small-star) are clusters, within
-which all links lie.  A cluster is verified where its members meet: in one task if it is small, else dealt in blocks of
-about `BLOCK` members, each pair of blocks a task of its own.  A task screens pairs by their signatures, confirms them on
-full sets, skips those that its links have connected already, and returns a spanning forest, so neither pairs nor links
-are emitted.  Components of the confirmed links are the result.
+`bands` x `rows` universal hash minima; classes that agree on a whole band share a bucket.  Buckets with the same members
+count once.  In each bucket signatures are compared, and those alike enough are joined (``_connect``); components of
+these joins, by large-star and small-star, are clusters, within which all links lie.  Full sets are then compared within
+clusters in the same way, and components of the confirmed links are the result.
+
+``_connect`` returns a spanning forest and never pairs.  A group of up to `BLOCK` members is one task.  A larger one is
+dealt in blocks, each with a copy of the group's smallest member; only strays, which their block didn't connect to that
+member, are compared with the other blocks as well, in chunks.  A group of near copies thus costs in proportion to its
+size; only strays x size of one group is quadratic, in tasks of bounded size.
 
 With 32 bands of 5 rows a pair of similarity 0.8 shares no bucket with probability 3e-6.
 """
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import LOWER, UPPER, RangeHash, Workspace, mix64, signed, slices, small_batches, text_bytes
+from larkspur.llm.common import LOWER, UPPER, RangeHash, Workspace, hot_join, id_type, mix64, signed, slices, small_batches, text_bytes
 
 BANDS, ROWS = 32, 5
 #: Pairs whose signatures agree in so much less than the similarity are no link: five standard errors of 160 minima.
@@ -95,7 +98,7 @@ def minima(sets: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
 
 
 def _describe(k: int, bands: int, rows: int):
-    """id, number of shingles, 128-bit digest of the set, band hashes, signature of one byte for each minimum."""
+    """id, hash of the text, number of shingles, 128-bit digest of the set, band hashes, signature of one byte for each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,20 +122,22 @@ def _describe(k: int, bands: int, rows: int):
                     for j, i in enumerate(some):
                         sig[i], band[i] = b8[j].tobytes(), h[j]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(size, pa.int64()), pa.array(signed(digest[0])), pa.array(signed(digest[1])), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                    names=["_id", "n_shingles", "d1", "d2", "bands", "sig"],
+                    [part.column("_id"), part.column("_t"), pa.array(size, pa.int64()), pa.array(signed(digest[0])), pa.array(signed(digest[1])), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                    names=["_id", "_t", "n_shingles", "d1", "d2", "bands", "sig"],
                 )
 
     return run
 
 
-def spanning_links(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links that connect what all links would connect.  side: 0 or 1; pairs are of different sides if both occur.
+def spanning_links(sets: list[np.ndarray] | None, sigs: np.ndarray, side: np.ndarray, share: tuple[int, int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that connect what all links would connect, and the root of each member's tree.
 
-    A link has share[1] * |intersection| >= share[0] * |union|.  Likely pairs come first, so that most others are skipped.
+    side: 0 or 1; pairs are of different sides if both occur.  A link has share[1] * |intersection| >= share[0] * |union|;
+    without sets, signatures that agree in the similarity less SIGNATURE_SLACK.  Likely pairs come first, so that most
+    others are skipped.
     """
-    n, least = len(sets), share[0] / share[1]
-    size = np.array([len(x) for x in sets])
+    n, least = len(sigs), share[0] / share[1]
+    size = None if sets is None else np.array([len(x) for x in sets])
     parent = list(range(n))
 
     def root(i: int) -> int:
@@ -141,53 +146,95 @@ def spanning_links(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, s
             i = parent[i]
         return i
 
-    two, out, pairs = side.any() and not side.all(), [], []
+    two, out, pairs = bool(side.any() and not side.all()), [], []
     for i in range(n):
         others = np.arange(i + 1, n)
         if two:
             others = others[side[others] != side[i]]
-        others = others[np.minimum(size[others], size[i]) >= least * np.maximum(size[others], size[i]) - 1e-9]
+        if size is not None:
+            others = others[np.minimum(size[others], size[i]) >= least * np.maximum(size[others], size[i]) - 1e-9]
         if len(others):
             alike = (sigs[others] == sigs[i]).mean(axis=1)
             good = alike >= least - SIGNATURE_SLACK
             pairs.append((alike[good], np.full(int(good.sum()), i), others[good]))
-    if not pairs:
-        return []
-    alike, left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    for k in np.argsort(-alike, kind="stable").tolist():
-        i, j = int(left[k]), int(right[k])
-        a, b = root(i), root(j)
-        if a == b:
-            continue
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if both and share[1] * both >= share[0] * (int(size[i]) + int(size[j]) - both):
+    if pairs:
+        alike, left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        for k in np.argsort(-alike, kind="stable").tolist():
+            i, j = int(left[k]), int(right[k])
+            a, b = root(i), root(j)
+            if a == b:
+                continue
+            if sets is not None:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if not both or share[1] * both < share[0] * (int(size[i]) + int(size[j]) - both):
+                    continue
             parent[a] = b
             out.append((i, j))
-    return out
+    return out, [root(i) for i in range(n)]
+
+
+def _task(k: int | None, share: tuple[int, int], group: list[str], kind: pa.DataType, strays: bool):
+    """Of one task's members: rows (group, a, b) for links, and (group, a, d1) for strays if asked for.  k: None for signatures only."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids = rows.column("node").to_pylist()
+        sets = None
+        if k is not None:
+            texts, offs = shingle_sets(rows.column("_text"), k)
+            sets = [texts[offs[i] : offs[i + 1]] for i in range(len(ids))]
+        sigs = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("sig")])
+        links, roots = spanning_links(sets, sigs, rows.column("side").to_numpy(), share)
+        a, b = [ids[i] for i, _ in links], [ids[j] for _, j in links]
+        d1, at = [None] * len(links), [0] * len(links)
+        if strays:
+            near = {r for r, pivot in zip(roots, rows.column("pivot").to_pylist(), strict=True) if pivot}
+            lost = [i for i, r in enumerate(roots) if r not in near]
+            digests = rows.column("d1").to_pylist()
+            a += [ids[i] for i in lost]
+            b += [None] * len(lost)
+            d1 += [digests[i] for i in lost]
+            at += [0] * len(lost)
+        keys = [rows.column(g).combine_chunks().take(pa.array(at, pa.int64())) for g in group]
+        return pa.table([*keys, pa.array(a, kind), pa.array(b, kind), pa.array(d1, pa.int64())], names=[*group, "a", "b", "d1"])
 
+    return run
 
-def _verify(k: int, share: tuple[int, int]):
-    def run(group: pa.Table) -> pa.Table:
-        ids = group.column("node").to_pylist()
-        texts, offs = shingle_sets(group.column("_text"), k)
-        sets = [texts[offs[i] : offs[i + 1]] for i in range(len(ids))]
-        sigs = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in group.column("sig")])
-        links = spanning_links(sets, sigs, group.column("side").to_numpy(), share)
-        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
-    return run
+def _connect(rows: DataFrame, group: list[str], kind: str, workspace: Workspace, share: tuple[int, int], k: int | None = None) -> DataFrame:
+    """Links (a, b) within groups.  rows: group columns, n (members, about), low (the smallest node), node, d1 (which tells
+    members with one node apart), sig, and _text if full sets decide (k: words of a shingle)."""
+    own = F.pmod(F.xxhash64("node", "d1"), F.col("blocks")).cast("int")
+    placed = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("pivot", F.col("node") == F.col("low"))
+    placed = placed.withColumn("own", own)
+    types = dict(rows.dtypes)
+    out_schema = ", ".join(f"{g} {types[g]}" for g in group) + f", a {kind}, b {kind}, d1 long"
+    arrow = pa.int64() if kind == "bigint" else pa.string()
+    inside = placed.withColumn("own", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))).withColumn("side", F.lit(0))
+    found = workspace.store(inside.drop("n", "low").groupBy(*group, "own").applyInArrow(_task(k, share, group, arrow, True), out_schema))
+    links = found.filter("b is not null").select("a", "b")
+    lost = found.filter("b is null").select(*group, F.col("a").alias("node"), "d1").distinct()
+    big = placed.filter("blocks > 1")
+    strays = workspace.store(big.join(lost, [*group, "node", "d1"]))
+    chunks = strays.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64(F.lit(3), "node", "d1"), F.col("chunks")).cast("int")
+    left = big.join(chunks, group).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(0))
+    right = strays.join(chunks, group).withColumn("chunk", chunk).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    across = left.unionByName(right).drop("n", "low").groupBy(*group, "own", "chunk").applyInArrow(_task(k, share, group, arrow, False), out_schema)
+    return links.unionByName(across.select("a", "b"))
 
 
 def components(edges: DataFrame, workspace: Workspace) -> DataFrame:
     """node, component (its smallest node) for the nodes of undirected edges (a, b), by large-star and small-star.
 
-    Each step is a grouped minimum and an equi-join with it: the neighbours of a node are never gathered.
+    Each step is a grouped minimum and an equi-join with it: the neighbours of a node are never gathered, and those of a
+    hub stay where they are.
     """
+    total = 0
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
         # pairs (u, v), v a neighbour that the step looks at; the smallest of u and its neighbours becomes their centre
-        low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = pairs.join(low, "u")
+        low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        joined = hot_join(pairs, low, ["u"], "n", total)
         if larger:
             return joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -195,10 +242,11 @@ def components(edges: DataFrame, workspace: Workspace) -> DataFrame:
     tidy = lambda df: df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = workspace.store(tidy(edges))
-    was = None
+    was = mark(now)
     while True:
+        total = 2 * was[0]
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = tidy(star(both, True))
+        large = workspace.store(tidy(star(both, True)))
         small = tidy(star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False))
         now = workspace.store(small)
         sum_now = mark(now)
@@ -225,42 +273,51 @@ def near_duplicates(
     Returns id, n_shingles, component_id (smallest id reachable over links, itself included), kept (id = component_id).
 
     A null or empty text, or one of white space only, has no shingles and no links.  Rows that repeat an id are one
-    node of the graph, each with a row of the result.  A row with a null id is kept, without links, component_id null.
-    Empty table: empty result.  Other columns of docs are ignored.
+    node of the graph, whatever their texts, each with a row of the result; so with one id, all of them are kept or none.
+    Ids are whole numbers or texts.  A row with a null id is kept, without links, component_id null.  Ties need no rule:
+    components don't depend on any order.  Of a very long text a task holds some arrays of 8 bytes for each of its bytes.
+    Empty table: empty result.  Other columns of docs are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
     workspace = workspace or Workspace(spark, "minhash")
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    kind = id_type(docs, id_col)
+    base = docs.select(F.col(id_col).cast(kind).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"), F.col(text_col).alias("_text"))
     sets = workspace.store(
-        base.mapInArrow(_describe(shingle, bands, rows), "_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
+        base.mapInArrow(_describe(shingle, bands, rows), f"_id {kind}, _t long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
     )
     filled = sets.filter("_id is not null and n_shingles > 0")
-    classes = workspace.store(filled.groupBy("n_shingles", "d1", "d2").agg(F.min("_id").alias("rep")))
-    reps = filled.join(classes.select(F.col("rep").alias("_id"), "n_shingles", "d1", "d2"), ["_id", "n_shingles", "d1", "d2"], "left_semi")
-    members = reps.select("_id", F.posexplode("bands").alias("band", "h"))
-    lowest = members.groupBy("band", "h").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).filter("low < high")
-    stars = members.join(lowest, ["band", "h"]).select(F.col("_id").alias("a"), F.col("low").alias("b"))
-    clusters = components(stars, workspace).withColumnRenamed("component", "cluster")
-    links = _links(clusters, reps.select(F.col("_id").alias("node"), "sig"), base, workspace, shingle, similarity)
+    same = ["n_shingles", "d1", "d2"]
+    classes = workspace.store(
+        filled.groupBy(*same).agg(F.min(F.struct("_id", "_t")).alias("m"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .select(*same, F.col("m._id").alias("node"), F.col("m._t").alias("text_hash"), "bands", "sig")
+    )
+    # ids that stand for several texts join their classes, and rows of theirs without shingles
+    mark = F.struct(*same)
+    several = sets.filter("_id is not null").groupBy("_id").agg(F.min(mark).alias("p"), F.max(mark).alias("q")).filter("p <> q").select("_id")
+    by_id = workspace.store(filled.join(several, "_id").join(classes.select(*same, "node"), same).select(F.col("node").alias("a"), F.col("_id").alias("b")).distinct())
+
+    members = classes.select("node", "d1", F.posexplode("bands").alias("band", "h"))
+    buckets = members.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node", "d1")).alias("mark")).filter("low < high")
+    buckets = workspace.store(buckets.groupBy("n", "low", "high", "mark").agg(F.min(F.struct("band", "h")).alias("b")).select("b.band", "b.h", "n", "low"))
+    total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = hot_join(members, buckets, ["band", "h"], "n", total)
+    shared = shared.join(classes.select("node", "d1", "sig"), ["node", "d1"])
+    alike = _connect(workspace.store(shared), ["band", "h"], kind, workspace, similarity)
+
+    clusters = components(alike, workspace).withColumnRenamed("component", "low")
+    sizes = clusters.groupBy("low").agg(F.count("*").alias("n"))
+    placed = hot_join(clusters, sizes, ["low"], "n", clusters.count()).join(classes.select("node", "d1", "sig", "text_hash"), "node")
+    texts = base.filter("_id is not null").select(F.col("_id").alias("node"), F.col("_t").alias("text_hash"), "_text")
+    held = workspace.store(placed.join(texts, ["node", "text_hash"]).dropDuplicates(["node", "text_hash"]).withColumn("cluster", F.col("low")))
+    links = _connect(held, ["cluster"], kind, workspace, similarity, shingle).unionByName(by_id)
+
     labels = components(links, workspace).withColumnRenamed("component", "comp")
-    out = sets.select("_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left")
-    out = out.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    found = F.coalesce("comp", "rep")
-    component = F.when(F.col("n_shingles") > 0, found).otherwise(F.col("_id"))
+    out = sets.select("_id", *same).join(classes.select(*same, "node"), same, "left").withColumn("node", F.coalesce("node", "_id")).join(labels, "node", "left")
+    component = F.coalesce("comp", "node")
     out = out.select("_id", "n_shingles", F.when(F.col("_id").isNotNull(), component).alias("component_id"))
-    return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _links(clusters: DataFrame, sigs: DataFrame, base: DataFrame, workspace: Workspace, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """Confirmed links (a, b) of each cluster, a spanning forest of each task."""
-    size = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = workspace.store(placed.join(sigs, "node").dropDuplicates(["node"]))
-    texts = base.filter("_id is not null").select(F.col("_id").alias("node"), "_text")
-    dealt = (
-        placed.join(texts, "node")
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sig", "_text", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    )
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(_verify(shingle, similarity), "a long, b long")
+    kind_out = docs.schema[id_col].dataType if kind == "string" else "bigint"
+    return out.select(
+        F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), "n_shingles", F.col("component_id").cast(kind_out).alias("component_id"),
+        F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+    )

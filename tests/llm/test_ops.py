@@ -70,6 +70,28 @@ def test_suffix_dedup(spark, make, length, q):
     assert all(r["n_bytes"] - r["n_removed"] == len(r["kept"]) for r in got)
 
 
+def test_text_ids(spark):
+    """Ids that are texts, null ones included, give what numbers give."""
+    df = odd(spark)
+    named = df.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.format_string("%04d", "doc_id")))
+    for run in (lambda x: remove_repeats(x, length=60, q=16).select("doc_id", "kept_sha256"), lambda x: dedup_lines(x).select("doc_id", "kept")):
+        want, got = ([tuple(r) for r in run(x).collect()] for x in (df, named))
+        assert collections.Counter((int(i) if i else None, x) for i, x in got) == collections.Counter(want)
+    with pytest.raises(TypeError):
+        remove_repeats(df.withColumn("doc_id", F.lit(1.5)))
+
+
+@pytest.mark.parametrize("length,q", [(40, 8), (90, 30)])
+def test_suffix_dedup_at_random(spark, length, q):
+    """Texts put together from few passages, shifted and cut, over few letters: all levels of refinement are needed."""
+    rng = random.Random(length)
+    passages = ["".join(rng.choices("ab ", k=rng.randrange(20, 200))) for _ in range(30)]
+    texts = ["".join(rng.choice(passages)[rng.randrange(15) :] for _ in range(rng.randrange(1, 9))) for _ in range(150)] + ["a" * 500, "ab" * 200, "ab" * 130 + "a"]
+    got = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=length, q=q).collect()
+    want = brute_repeats([x.encode() for x in texts], length)
+    assert [(hashlib.sha256(k).hexdigest(), n) for k, n in want] == [(r["kept_sha256"], len(r["spans"])) for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
 def key(line):
     return line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
@@ -130,13 +152,37 @@ def test_near_duplicates(spark, make, k):
     assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_near_duplicate_ids(spark, text_ids):
+    """Rows that share an id are one node, whatever their texts; ids may be texts."""
+    a, b, c = (" ".join(WORDS[k : k + 60]) for k in (0, 100, 200))
+    rows = [(1, a), (3, a), (3, b), (9, b), (9, None), (12, ""), (12, c), (14, c + " end"), (15, None), (15, "")]
+    assert len(rows) == 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.select(F.format_string("d%03d", "doc_id").alias("doc_id"), "text") if text_ids else df
+    got = near_duplicates(df, shingle=4).collect()
+    name = (lambda i: f"d{i:03d}") if text_ids else int
+    want = {name(i): name(j) for i, j in brute_near(rows, 4, (80, 100)).items()}
+    assert len(got) == 10 and {r["doc_id"]: r["component_id"] for r in got} == want and want[name(9)] == name(1) and want[name(14)] == name(12)
+    assert all(r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
 def test_near_duplicate_blocks(spark, monkeypatch):
+    """Groups of many blocks with chains, whose ends aren't alike, and strays: against all pairs."""
     from larkspur.llm import minhash_dedup
 
     monkeypatch.setattr(minhash_dedup, "BLOCK", 5)
+    rng = random.Random(3)
     rows = [(i, " ".join(WORDS[:100] + [f"v{i}", f"u{i}"])) for i in range(23)]
+    chain = WORDS[150:250]
+    for i in range(100, 160):
+        chain = list(chain)
+        chain[rng.randrange(10, 90)] = f"x{i}"
+        rows.append((i, " ".join(chain)))
+    rows += [(200 + i, " ".join(rng.choice((w, f"z{rng.random()}")) if k % 7 == i % 7 else w for k, w in enumerate(WORDS[260:330]))) for i in range(40)]
+    rng.shuffle(rows)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
-    assert {r["component_id"] for r in got} == {0}
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_near(rows, 4, (80, 100))
 
 
 def test_secrets(spark):
