@@ -39,6 +39,8 @@ URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/=_-])")
 
+#: Behind a slash, how gzip and zlib data begin in base64.
+PACKED_HEAD = re.compile(r"/(?=H4sI|e[AFJN])")
 #: Runs of base64 over line ends; how many of their lines belong together is tried out.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 URL_DATA = re.compile(r"(?<![A-Za-z0-9_.~!*'()/+&=:;@$,?-])[A-Za-z0-9_.~!*'()/+&=:;@$,?-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~!*'()/+&=:;@$,?-]*+)++")
@@ -357,6 +359,11 @@ def find_all(text: str) -> tuple[list[tuple[str, int, int]], list[Span]]:
                     push(work, plain, _Origin(None, [a for a, _ in both], [b for _, b in both]), f"{name}>{label}")
         for m in BASE64.finditer(layer) if ends else ():
             hold(work, _base64(m[0]), _Origin(origin.span(m.start(), m.end())), f"{name}>base64")
+            if "/" in m[0]:  # it may begin behind a path: in another of four steps, or where packed data has its head
+                for skip in (1, 2, 3):
+                    hold(work, _base64(m[0][skip:]), _Origin(origin.span(m.start(), m.end())), f"{name}>base64")
+                for head in PACKED_HEAD.finditer(m[0]):
+                    hold(work, _base64(m[0][head.end() :]), _Origin(origin.span(m.start() + head.end(), m.end())), f"{name}>base64")
         for m in WRAPPED.finditer(layer) if ends and "\n" in layer else ():
             for a, b in _joined(m[0]):
                 token = "".join(m[0][a:b].split()).partition("=")[0]
@@ -452,8 +459,9 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Returns id, base (matches in the text itself) and spans (those and all found in decoded layers), both arrays of
     struct(kind, start, end, layer), offsets in code points of the text, end exclusive.
 
-    Null text: as an empty one, no spans.  Rows are independent: repeated or null ids, ties and an empty table need
-    nothing special.  Other columns of docs are ignored.
+    Null text: as an empty one, no spans.  Rows are independent: repeated or null ids, ids of any kind, ties and an empty
+    table need nothing special.  Very long texts and layers are scanned whole; layers beyond LONG bytes in windows, so that
+    a task holds the text, its origins and LONG bytes of a layer.  Other columns of docs are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -224,6 +224,44 @@ def test_secrets_of_whole_streams(monkeypatch):
         assert {(s.kind, s.start, s.end) for s in find_all(layer)[1]} == {("assign", 0, len(layer))}
 
 
+def test_secret_cycles(monkeypatch):
+    """An archive that holds itself ends the worklist; what stands beside it is found."""
+    from larkspur.llm import secret_scan
+
+    packed = gzip.compress(b"self") + b"token=abcdef123"
+    monkeypatch.setattr(secret_scan, "_inflate", lambda chunks: iter([b"".join(chunks)]))
+    text = base64.b64encode(packed).decode()
+    for size in (1 << 18, 8):
+        monkeypatch.setattr(secret_scan, "CHUNK", size)
+        monkeypatch.setattr(secret_scan, "WINDOW", 4 * size)
+        monkeypatch.setattr(secret_scan, "LONG", 16 * size)
+        assert {s.kind for s in find_all(f"x {text} y")[1]} == {"assign"}
+
+
+def test_nested_secrets_against_brute_force():
+    """Random nests of layers around a secret: found once at the place of the outermost layer."""
+    from urllib.parse import quote
+
+    rng = random.Random(6)
+    wraps = {
+        "base64": lambda x: base64.b64encode(x.encode()).decode().rstrip("="), "gzip": lambda x: base64.b64encode(gzip.compress(x.encode())).decode(), "zlib": lambda x: base64.urlsafe_b64encode(zlib.compress(x.encode())).decode(),
+        "url": lambda x: "".join(f"%{b:02X}" for b in x.encode()), "unicode": lambda x: "".join(f"\\u{ord(c):04x}" for c in x), "quoted": lambda x: quote(x, safe=""),
+    }
+    for _ in range(60):
+        plan = [rng.choice(sorted(wraps)) for _ in range(rng.randrange(1, 4))]
+        inner = rng.choice(("token=abcdef123", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2))
+        layer = inner
+        for name in plan:
+            layer = wraps[name](layer)
+        front = rng.choice(("see ", "é: ", "(", "http://a.example/b/"))
+        text = f"{front}{layer} end"
+        found = [s for s in find_all(text)[1] if s.layer != "text"]
+        kind = {"t": "assign", "A": "access", "0": "hex"}[inner[0]]
+        mine = [s for s in found if s.kind == kind]
+        assert (mine or layer == inner or inner in text) and all(0 <= s.start < s.end <= len(text) for s in found), (plan, inner)
+        assert any(s.start >= len(front) - 20 and s.end <= len(front) + len(layer) for s in mine) or inner in text, (plan, inner, mine)
+
+
 def test_secrets_of_wrapped_and_odd_layers():
     from urllib.parse import quote, quote_plus
 
@@ -293,18 +331,61 @@ def test_unigram_machine():
     assert Machine(model).encode("ab") == [5, 3]  # ▁a b costs 3, ▁ ab costs 6
 
 
+def brute_leaks(text, item, run=4):
+    """Coverage of an item: the longest common token run that uses free tokens only is marked, again and again."""
+    x, y = (re.findall(r"\w+", z.lower()) for z in (text or "", item or ""))
+    least, used_x, used_y, tiles = min(run, len(y)), set(), set(), 0
+    while y:
+        best = (0, 0, 0)
+        for p in range(len(x)):
+            for t in range(len(y)):
+                n = 0
+                while p + n < len(x) and t + n < len(y) and x[p + n] == y[t + n] and p + n not in used_x and t + n not in used_y:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, t)
+        n, p, t = best
+        if n < least:
+            break
+        used_x.update(range(p, p + n))
+        used_y.update(range(t, t + n))
+        tiles += 1
+    return (len(used_y) / len(y), tiles) if y else (0.0, 0)
+
+
 def test_decontaminate(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "tiny item")], "item_id long, text string")
     texts = [
         f"x {item} y", "seven eight nine ten eleven twelve and one two three four five six", "one two three four only", None, "", "a Tiny, item!", "one two three x four five six y seven eight nine", item + " " + item,
     ]
-    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)], "doc_id long, text string, coverage int")
-    for block in (2_000_000, 3):
-        got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in find_leaks(df, bench, block_tokens=block).collect()}
-        assert got == {(0, 1): 1.0, (1, 1): 1.0, (5, 4): 1.0, (7, 1): 1.0}
-        assert sorted(r["doc_id"] for r in drop_leaks(df, bench, block_tokens=block).collect()) == [2, 3, 4, 6]
-    assert find_leaks(df, bench.limit(0)).count() == 0 and find_leaks(empty(spark), bench).count() == 0
+    rows = [(i, x, 1) for i, x in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[0], (None, item, 2), (None, "clean", 2)], "doc_id long, text string, coverage int")
+    got = collections.Counter((r["doc_id"], r["item_id"], r["coverage"]) for r in find_leaks(df, bench).collect())
+    assert got == {(0, 1, 1.0): 2, (1, 1, 1.0): 1, (5, 4, 1.0): 1, (7, 1, 1.0): 1, (None, 1, 1.0): 1}
+    kept = drop_leaks(df, bench)
+    assert kept.schema == df.schema and sorted((r["doc_id"] or -1, r["coverage"]) for r in kept.collect()) == [(-1, 2), (2, 1), (3, 1), (4, 1), (6, 1)]
+    assert find_leaks(df, bench.limit(0)).count() == 0 and find_leaks(empty(spark), bench).count() == 0 and drop_leaks(df, bench.limit(0)).count() == 11
+
+
+def test_tiling_against_brute_force(spark):
+    """Reordered, cut and mixed passages over few words, so that runs repeat and overlap."""
+    rng = random.Random(8)
+    words = ["aa", "bb", "Cc", "dd", "e9", "é"]
+    items = [" ".join(rng.choices(words, k=rng.choice((1, 2, 3, 9, 14)))) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        parts = [" ".join(rng.choices(words, k=rng.randrange(1, 6)))]
+        for _ in range(rng.randrange(3)):
+            tokens = rng.choice(items).split()
+            a = rng.randrange(len(tokens))
+            parts.append(" ".join(tokens[a:] + tokens[:a]))
+        rng.shuffle(parts)
+        texts.append(", ".join(parts))
+    docs_, bench = (spark.createDataFrame(list(enumerate(x)), f"{n} string, text string") for x, n in ((texts, "doc_id"), (items, "item_id")))
+    got = {(r["doc_id"], r["item_id"]): (round(r["coverage"], 9), r["n_tiles"]) for r in find_leaks(docs_, bench).collect()}
+    want = {(str(i), str(j)): brute_leaks(x, y) for i, x in enumerate(texts) for j, y in enumerate(items)}
+    assert got == {k: (round(c, 9), n) for k, (c, n) in want.items() if c >= 0.5 and n}
 
 
 def test_language_id(spark):
