@@ -401,6 +401,74 @@ def test_language_id(spark):
     assert spark.range(1).select(address_host(F.lit("https://u@A.B.example.org:80/x"))).first()[0] == "a.b.example.org"
 
 
+FOREIGN = [
+    "Быстрая коричневая лиса перепрыгивает через ленивую собаку, а потом возвращается домой к своим детям и ест рыбу у реки",
+    "Hızlı kahverengi tilki tembel köpeğin üzerinden atlar ve sonra evine dönüp çocuklarıyla birlikte ırmağın kıyısında balık yer",
+    "qxzv kjwq zxqk vvwx qqzx jkxw zzqv xkqj wvxz qjzk xwqv kzjx vqxw zjkq xvzw qkjx wzvq xjqz kvwx zqjk",
+    "Szybki brązowy lis przeskakuje nad leniwym psem, a potem wraca do domu i je ryby z dziećmi nad brzegiem rzeki",
+]
+
+
+def test_language_background(spark):
+    """Texts in none of the modelled languages are not accepted; those in one are, whatever else is missing."""
+    base = docs(spark).select("text", "lang", "source")
+    df = base.unionByName(spark.createDataFrame([(x, None, "src0") for x in FOREIGN], base.schema))
+    got = {r["text"]: r for r in identify(df, text=F.col("text"), declared=F.col("lang"), host=F.col("source")).collect()}
+    assert [got[x]["_accepted"] for x in FOREIGN] == [False] * len(FOREIGN)
+    assert all(r["_accepted"] for x, r in got.items() if x not in FOREIGN)
+    odd_names = base.limit(3).withColumns({"_text": F.lit("mine"), "_host": F.lit(1)})
+    assert {r["_text"] for r in identify(odd_names, text=F.col("text"), declared=F.col("lang"), host=F.col("source")).collect()} == {"mine"}
+    with pytest.raises(ValueError):
+        identify(base.withColumn("_language", F.lit(1)), text=F.col("text"), declared=F.col("lang"), host=F.col("source"))
+
+
+def test_language_evidence_against_brute_force(spark):
+    """Smoothed tables of declarations, suffixes and hosts, and their posterior, recomputed row by row."""
+    import math
+
+    from larkspur.llm import language_id as L
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    e = L.page_evidence(F.col("html"), F.col("url"))
+    df = pages.select("page_id", e["text"].alias("text"), F.when(F.col("page_id") % 7 == 0, None).otherwise(e["declared"]).alias("declared"), e["host"].alias("host"))
+    rows = df.collect()
+    got = {r["page_id"]: r for r in identify(df, text=F.col("text"), declared=F.col("declared"), host=F.col("host")).collect()}
+    langs = sorted({r["declared"].split("-")[0].lower() for r in rows if r["declared"]})
+    assert {"en", "fr"} <= set(langs) and all("." in r["host"] for r in rows)
+    import numpy as np
+
+    counts, letters = np.full((len(langs), L.BINS), 0.5), np.full(256, 0.5)
+    grams = {}
+    for r in rows:
+        raw = np.frombuffer(r["text"].encode(), np.uint8)
+        grams[r["page_id"]] = (raw, *L.trigrams(raw, np.array([0, len(raw)])))
+        letters += np.bincount(L.folded(raw)[0], minlength=256)
+        if r["declared"]:
+            np.add.at(counts[langs.index(r["declared"].split("-")[0].lower())], grams[r["page_id"]][1], 1)
+    table, single = np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(letters / letters.sum())
+    ll = {}
+    for i, (raw, bins, _, at) in grams.items():
+        p = single[L.folded(raw)[0]]
+        ll[i] = L.TEMPER * np.append(table[:, bins].sum(axis=1), np.logaddexp(p[at] + p[at + 1] + p[at + 2], -math.log(L.BINS)).sum() - len(at) * math.log(2))
+    shown = {r["page_id"]: int(ll[r["page_id"]].argmax()) for r in rows if len(grams[r["page_id"]][1])}
+    shown = {i: k for i, k in shown.items() if k < len(langs)}
+    tally = lambda key: collections.Counter((key(r), shown[r["page_id"]]) for r in rows if r["page_id"] in shown)
+    n = np.array([sum(v == k for v in shown.values()) for k in range(len(langs))], float)
+    up = lambda h: re.sub(r"^[^.]*\.(?=[^.]*\.)", "", h)
+    dec, suf, hosts, tops = tally(lambda r: (r["declared"] or "").split("-")[0].lower()), tally(lambda r: r["host"].split(".")[-1]), tally(lambda r: r["host"]), tally(lambda r: up(r["host"]))
+    vec = lambda t, v: np.array([t[v, k] for k in range(len(langs))], float)
+    smooth = lambda v, over: (v + L.PRIOR_ROWS * over) / (v.sum() + L.PRIOR_ROWS)
+    root = (n + 1) / (n + 1).sum()
+    for r in rows:
+        lp = ll[r["page_id"]] + np.log(np.append(smooth(vec(hosts, r["host"]), smooth(vec(tops, up(r["host"])), root)) * (1 - L.BACKGROUND), L.BACKGROUND))
+        for t, v in ((dec, (r["declared"] or "").split("-")[0].lower()), (suf, r["host"].split(".")[-1])):
+            share = vec(t, v).sum() / n.sum()
+            lp = lp + (np.log(np.append((vec(t, v) + L.PRIOR_ROWS * share) / (n + L.PRIOR_ROWS), share)) if v else 0)
+        best = int(lp.argmax())
+        assert got[r["page_id"]]["_language"] == (langs[best] if best < len(langs) else "und")
+        assert abs(got[r["page_id"]]["_confidence"] - 1 / np.exp(lp - lp.max()).sum()) < 1e-6
+
+
 def test_many_languages(spark):
     """Every declared language is modelled, however many there are and however rare they are."""
     rng = random.Random(4)
