@@ -93,7 +93,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_store(docs: DataFrame, workspace: Workspace, *, id_col: str, raw_col: str) -> DataFrame:
-    """Writes one image for each row: id, digest (of the raw bytes), n_bytes (unpadded), media (PNG)."""
+    """Writes one image for each row: id, digest (of the raw bytes), n_bytes (unpadded), media (PNG).
+
+    Null: as no bytes.  Equal payloads have equal images.  Ids may be null, repeated, and of any kind.  A payload of any
+    length is one image, which its task holds.  Empty table: empty result.  Other columns are ignored, whatever their names.
+    """
     small_batches(docs.sparkSession, 256)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(raw_col).alias("_raw"))
@@ -117,16 +121,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_features(store: DataFrame) -> DataFrame:
-    """One row for each digest, from the stored bytes read back."""
+    """One row for each digest, from the stored bytes read back.  Damaged media are an error.  Repeated rows give one; an
+    empty table none."""
     rows = store.select("digest", "media").mapInArrow(_features, f"digest string, {FEATURES}")
     names = [f.split()[0] for f in FEATURES.split(", ")]
     return rows.groupBy("digest").agg(*(F.min(c).alias(c) for c in names))
 
 
 class _Reader(HTMLParser):
-    """Text and media references in document order; a figure's caption belongs to the media of that figure."""
+    """Text and media references in document order; a figure's caption, wherever it stands in it, belongs to its media."""
 
-    SKIP = {"script", "style", "template", "head", "noscript"}
+    SKIP = {"script", "style", "template", "title", "noscript"}
     MEDIA = {"img", "audio", "video", "source", "embed"}
     BLOCK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "blockquote", "pre", "figure", "table", "ul", "ol", "br", "nav", "body", "html"}
 
@@ -137,6 +142,12 @@ class _Reader(HTMLParser):
         self.skip = 0
         self.caption: list[str] | None = None
         self.figure: list[int] = []
+        self.held: str | None = None
+
+    def end_figure(self) -> None:
+        for i in self.figure if self.held else ():
+            self.items[i]["caption"] = self.held
+        self.figure, self.held = [], None
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -159,15 +170,15 @@ class _Reader(HTMLParser):
         if tag in self.BLOCK:
             self.flush()
         if tag == "figure":
-            self.figure = []
+            self.end_figure()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
         elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            for i in self.figure:
-                self.items[i]["caption"] = text or self.items[i]["caption"]
+            self.held, self.caption = " ".join("".join(self.caption).split()) or self.held, None
+        elif tag == "figure":
+            self.end_figure()
         if tag in self.BLOCK:
             self.flush()
 
@@ -182,6 +193,7 @@ def parse_sequence(html: str) -> list[dict]:
     reader.feed(html)
     reader.close()
     reader.flush()
+    reader.end_figure()
     return [{"position": i, **x} for i, x in enumerate(reader.items)]
 
 
@@ -197,8 +209,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def interleave(pages: DataFrame, features: DataFrame, *, id_col: str, html_col: str) -> DataFrame:
     """One row for each item of each page: id, position, kind, text, ref, caption, and the features of its media.
 
-    References are resolved by digest (``sha256:<hex>``); others and unknown digests keep null features.  Null or empty
-    HTML: no items.  Repeated rows are parsed each on its own.  Other columns of pages are ignored.
+    References are resolved by digest (``sha256:<hex>``); others and unknown digests keep null features.  A figure's last
+    caption goes to all its media, an alt text to its own.  Null or empty HTML: no items.  Repeated rows are parsed each on
+    its own; ids may be null and of any kind.  A very long page is parsed whole.  Empty table: empty result.  Other columns
+    of pages are ignored, whatever their names.
     """
     small_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()

@@ -2,8 +2,10 @@
 
 The model is logistic on shape features of a whole text.  It is trained on trusted positives P and unlabelled web text
 U with an estimated class prior pi, minimising  pi*E_P[l(g)] + max(0, E_U[l(-g)] - pi*E_P[l(-g)])  (the second term, the
-risk on negatives, can't be negative).  The prior is the share of positives among the labelled training rows, and all
-labelled training rows set the two numbers that turn the margin into a probability.
+risk on negatives, can't be negative).  The weights see no negative label.  Only the two numbers that turn the margin into
+a probability are set by all labelled training rows, negative ones included.  The class prior of U is estimated: it begins
+as the share of positives among the labelled training rows, and is then the mean probability of U by the model fitted with
+the last estimate, corrected for the labelled rows' share, until it stays (or ROUNDS times).
 
 The fit sees bounded samples (parameters `positives`, `unlabelled`; smallest hashes of the id), so the driver's work
 doesn't grow; scores are computed for every text where it lies.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import small_batches
 
-POSITIVES, UNLABELLED, FOLDS = 6000, 6000, 5
+POSITIVES, UNLABELLED, ROUNDS = 6000, 6000, 4
 _SIGNS = re.compile(r"[#$%&*@^~+=<>{}\[\]\\]")
 
 
@@ -108,35 +110,62 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, labelled: np
     return model
 
 
+def estimate_prior(scores: np.ndarray, share: float, steps: int = 50) -> float:
+    """Share of positives among unlabelled scores, which are probabilities where positives are `share`: the fixed point of
+    the mean of the scores corrected for it."""
+    odds = np.clip(scores, 1e-6, 1 - 1e-6) / (1 - np.clip(scores, 1e-6, 1 - 1e-6)) * (1 - share) / share
+    prior = share
+    for _ in range(steps):
+        both = odds * prior / (1 - prior)
+        prior = float(np.clip((both / (1 + both)).mean(), 0.01, 0.99))
+    return prior
+
+
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(x.as_py() or "") for x in batch.column("_text")]
-        yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(rows, pa.list_(pa.float64()))], names=["_y", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("_i"), batch.column("_y"), pa.array(rows, pa.list_(pa.float64()))], names=["_i", "_y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """docs: all texts; labels: id and 0/1 label of the training rows only."""
+    """docs: all texts; labels: id and 0/1 label of the training rows only.
+
+    The fit sees at most `positives` labelled and `unlabelled` other ids, those with the smallest hashes; of rows that
+    repeat an id, one.  Null ids and labels are passed over, null texts count as empty; of repeated labels of an id the
+    larger counts.  Without positives or texts the model gives every text the same score.  Whole texts are looked at,
+    each by one task.  Other columns are ignored, whatever their names.
+    """
     small_batches(docs.sparkSession)
     known = (
         labels.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_i").agg(F.max("_y").alias("_y"))
         .orderBy(F.xxhash64("_i"), "_i").limit(positives)
     )
-    web = docs.select(F.col(id_col).alias("_i"), F.lit(-1).alias("_y")).dropna().orderBy(F.xxhash64(F.lit(3), "_i"), "_i").limit(unlabelled)
+    web = docs.select(F.col(id_col).alias("_i")).dropna().distinct().orderBy(F.xxhash64(F.lit(3), "_i"), "_i").limit(unlabelled).withColumn("_y", F.lit(-1))
     picked = F.broadcast(known.unionByName(web))  # at most positives + unlabelled rows
     texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_text")).join(picked, "_i")
-    got = texts.select("_y", "_text").mapInArrow(_feature_batches, "_y int, x array<double>").collect()
+    kind = docs.schema[id_col].dataType.simpleString()
+    got = texts.select("_i", "_y", "_text").mapInArrow(_feature_batches, f"_i {kind}, _y int, x array<double>").groupBy("_i", "_y").agg(F.min("x").alias("x")).collect()
+    got = sorted(got, key=lambda r: (r["_y"], r["_i"]))
     y = np.array([r["_y"] for r in got], np.int64)
     x = np.array([r["x"] for r in got], np.float64).reshape(len(got), N_FEATURES)
     named = y >= 0
-    prior = float(np.clip(y[named].mean(), 0.01, 0.99)) if named.any() else 0.5
-    return fit(x[y == 1], x[~named], prior, x[named], y[named].astype(float))
+    share = float(np.clip(y[named].mean(), 0.01, 0.99)) if named.any() else 0.5
+    prior = share
+    for _ in range(ROUNDS):
+        model = fit(x[y == 1], x[~named], prior, x[named], y[named].astype(float))
+        found = estimate_prior(model.score(x[~named]), share) if (~named).any() and len(set(y[named].tolist())) == 2 else prior
+        if abs(found - prior) < 0.005:
+            break
+        prior = found
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id and score (0 to 1) of every whole text.
 
-    Null text: as an empty one, which has a score of its own.  Repeated rows and null ids are scored each by itself.
-    Only the text enters a score.  Other columns of docs are ignored.
+    Null text: as an empty one, which has a score of its own.  Repeated rows and null ids are scored each by itself; equal
+    texts have equal scores.  Only the text enters a score, all of it however long.  Empty table: empty result.  Other
+    columns of docs are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
 

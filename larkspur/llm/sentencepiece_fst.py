@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-``Machine`` is compiled from a model file: the normaliser (dummy prefix, blanks to U+2581), an arc for each piece (input
-its characters, output its id, weight minus its score), and byte-fallback arcs for characters that no piece covers.
+``Machine`` is compiled from a model file: the normaliser (the model's character map, whose longest rewriting wins, blanks
+squeezed, dummy prefix, blanks to U+2581), an arc for each piece (input its characters, output its id, weight minus its
+score), and byte-fallback arcs for characters that no piece covers.
 Composing it with a text gives a lattice; the encoding is its shortest path in the tropical semiring.
 
 Models of type BPE rank merges instead of giving pieces likelihoods, so the cheapest path over piece scores isn't what
@@ -10,13 +11,16 @@ only if merging their joined characters gives these two pieces back.  Merging a
 all neighbours are so, which makes the path unique and the shortest one the model's own encoding.  The acceptor's states
 are the pieces; its arcs are found when first needed.
 
-Pieces never run from a character over to a following U+2581 (checked at compile time), so paths end at every word: each
-distinct word is composed once and its path kept in a bounded table.
+Pieces never run from a character over to a following U+2581 (checked at compile time), so paths of the BPE machine end
+at every word: each distinct word is composed once and its path kept in a table of bounded size (long words aren't kept).
+Models of likelihoods have their lattice over the whole text, since weights of paths add up in single precision, and
+what that rounds decides between paths of equal weight.
 """
 
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,10 +31,10 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import small_batches
 
 SPACE = "▁"
-#: Paths of distinct words and pairs of pieces that a worker keeps.
-KEPT_WORDS, KEPT_PAIRS = 250_000, 1_000_000
-#: Weight of a character without piece in models of likelihoods.
-FALLBACK = 1e4
+#: Paths of distinct words, of up to KEPT_CHARS characters, and pairs of pieces that a worker keeps.
+KEPT_WORDS, KEPT_CHARS, KEPT_PAIRS = 250_000, 64, 1_000_000
+#: How much worse than the worst piece a character without piece is, and what a user's piece loses.
+UNKNOWN_PENALTY, USER_PENALTY = 10.0, 0.1
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -65,6 +69,49 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 
+class CharMap:
+    """The rewriting part of a normaliser, as models hold it: a double-array trie over UTF-8 and the texts it leads to.
+
+    Fixed values of the format: the bits of a unit (label, whether a value follows, offset).
+    """
+
+    def __init__(self, data: bytes):
+        size = int.from_bytes(data[:4], "little")
+        self.units = struct.unpack(f"<{size // 4}I", data[4 : 4 + size])
+        self.texts = data[4 + size :]
+
+    def longest(self, data: bytes, at: int) -> tuple[int, int] | None:
+        """(bytes read, place of the text) of the longest rewriting that begins at a place of a text."""
+        units, found = self.units, None
+        step = lambda u: (u >> 10) << ((u & 512) >> 6)
+        node = step(units[0])
+        for k in range(at, len(data)):
+            node ^= data[k]
+            if node >= len(units):
+                break
+            unit = units[node]
+            if unit & 0x800000FF != data[k]:
+                break
+            node ^= step(unit)
+            if unit >> 8 & 1:
+                found = k + 1 - at, units[node] & 0x7FFFFFFF
+        return found
+
+    def apply(self, text: str) -> str:
+        data, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(data):
+            found = self.longest(data, at)
+            if found:
+                n, place = found
+                out.append(self.texts[place : self.texts.index(b"\0", place)])
+            else:
+                lead = data[at]
+                n = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+                out.append(data[at : at + n])
+            at += n
+        return b"".join(out).decode("utf-8", "replace")
+
+
 class Machine:
     def __init__(self, model: bytes):
         self.pieces: list[tuple[str, float, int]] = []
@@ -77,8 +124,7 @@ class Machine:
                 kind = dict(_fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 norm = dict(_fields(value))
-        if norm.get(2):
-            raise ValueError("models with a character map are not supported")
+        self.map = CharMap(norm[2]) if norm.get(2) else None
         if kind not in (UNIGRAM, BPE):
             raise ValueError("models of words or characters are not supported")
         self.bpe = kind == BPE
@@ -99,12 +145,17 @@ class Machine:
                 node = node.setdefault(c, {})
             node[""] = i
         self.values = {i: p.encode() for p, i in self.arcs.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
-        self.path = lru_cache(KEPT_WORDS)(self._only_path if self.bpe else self._cheapest_path)
+        normal = [s for _, s, t in self.pieces if t == NORMAL]
+        self.fallback = UNKNOWN_PENALTY - min(normal, default=0.0)
+        self.weights = [len(p.encode()) * -max(normal, default=0.0) + USER_PENALTY if t == USER and not self.bpe else -s for p, s, t in self.pieces]
+        self.path = lru_cache(KEPT_WORDS)(self._only_path)
         self.pairs: dict[int, bool] = {}
 
     # --- normaliser -------------------------------------------------------------------------------------------
 
     def normalise(self, text: str) -> str:
+        if self.map is not None:
+            text = self.map.apply(text)
         if self.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         if not text:
@@ -168,23 +219,31 @@ class Machine:
         return self._read(word, last, back)
 
     def _cheapest_path(self, word: str) -> tuple[int, ...]:
-        """The path of least weight (tropical semiring: weights add along a path, the minimum wins)."""
-        n, scores = len(word), self.scores
-        weight = [float("inf")] * (n + 1)
+        """The path of least weight (tropical semiring: weights add along a path, the minimum wins).
+
+        Weights are added in single precision, as models are used; of paths of equal weight that found first stays, whose
+        last piece begins first.
+        """
+        n, weights, fallback = len(word), self.weights, self.fallback
+        weight = array("f", [float("inf")]) * (n + 1)
         last: list[int | None] = [None] * (n + 1)
         back = [0] * (n + 1)
         weight[0], last[0] = 0.0, -1
+        one = array("f", [0.0])
         for i in range(n):
             node = self.trie.get(word[i])
             if node is None or "" not in node:
-                if weight[i] + FALLBACK < weight[i + 1]:
-                    weight[i + 1], last[i + 1], back[i + 1] = weight[i] + FALLBACK, -1, i
+                one[0] = weight[i] + fallback
+                if one[0] < weight[i + 1]:
+                    weight[i + 1], last[i + 1], back[i + 1] = one[0], -1, i
             j = i
             while node is not None:
                 j += 1
                 b = node.get("")
-                if b is not None and weight[i] - scores[b] < weight[j]:
-                    weight[j], last[j], back[j] = weight[i] - scores[b], b, i
+                if b is not None:
+                    one[0] = weight[i] + weights[b]
+                    if one[0] < weight[j]:
+                        weight[j], last[j], back[j] = one[0], b, i
                 node = node.get(word[j]) if j < n else None
         return self._read(word, last, back)
 
@@ -205,9 +264,15 @@ class Machine:
     # --- texts ------------------------------------------------------------------------------------------------
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        if not self.bpe:
+            out = list(self._cheapest_path(self.normalise(text)))
+            if not self.bytes and self.unknown in out:  # neighbouring characters without piece are one unknown
+                out = [x for k, x in enumerate(out) if x != self.unknown or not k or out[k - 1] != x]
+            return out
+        out = []
         parts = self.normalise(text).split(SPACE)
-        path, blanks = self.path, 0
+        kept, compose, blanks = self.path, self._only_path, 0
+        path = lambda word: kept(word) if len(word) <= KEPT_CHARS else compose(word)
         for k, part in enumerate(parts):
             if k:
                 blanks += 1
@@ -247,8 +312,11 @@ def _code(shared):
 def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id, ids (array of int) and decoded (the ids turned back into text).
 
-    Null or empty text: no ids.  decoded equals the text unless it holds U+2581, which decodes to a blank.  Repeated rows
-    and null ids are handled each by itself.  Other columns of docs are ignored.  The model file (a few hundred kB) is
+    Null or empty text: no ids.  decoded equals the text unless it holds U+2581, which decodes to a blank, or the model's
+    normaliser rewrites or squeezes characters, or has no bytes for those without piece.  Repeated rows and null ids are
+    handled each by itself; ids may be of any kind.  Of paths of equal weight the one whose last piece begins first is
+    taken.  A very long text is encoded whole, word by word; a word's lattice is held while its path is found.  Empty
+    table: empty result.  Other columns of docs are ignored, whatever their names.  The model file (a few MB at most) is
     read by the driver and broadcast.
     """
     spark = docs.sparkSession

@@ -300,6 +300,33 @@ def test_media(spark):
     assert [r["payload_bytes"] for r in got] == [None, 64, None]
 
 
+def test_media_captions(spark):
+    """Captions before their media, several media in a figure, pages without a head's end tag; all pages, in order."""
+    pages = [
+        "<html><head><title>t</title><meta charset=x><p>one<figure><figcaption>cap</figcaption><img src=a><img src=b alt=own></figure><img src=c alt=c2><figcaption>loose</figcaption>",
+        "<figure><img src=d></figure><figure><img src=e><figcaption> f  g </figcaption></figure>tail",
+    ]
+    got = [[(x["position"], x["kind"], x["text"] or x["ref"], x["caption"]) for x in parse_sequence(p)] for p in pages]
+    assert got[0] == [(0, "text", "one", None), (1, "media", "a", "cap"), (2, "media", "b", "cap"), (3, "media", "c", "loose")]
+    assert got[1] == [(0, "media", "d", None), (1, "media", "e", "f g"), (2, "text", "tail", None)]
+    store = media_store(docs(spark).limit(20), Workspace(spark, "test"), id_col="doc_id", raw_col="text")
+    refs = {r["doc_id"]: r["digest"] for r in store.select("doc_id", "digest").collect()}
+    real = spark.read.parquet(f"{DATA}/pages.parquet")
+    figure = F.concat(F.lit(f"<figure><figcaption>for "), F.col("page_id").cast("string"), F.lit(f"</figcaption><img src='{SCHEME}"), F.element_at(F.array(*map(F.lit, refs.values())), (F.col("page_id") % len(refs)).cast("int") + 1), F.lit("'></figure>"))
+    real = real.withColumn("html", F.replace("html", F.lit("</h1>"), F.concat(F.lit("</h1>"), figure)))
+    items = collections.defaultdict(list)
+    for r in interleave(real, media_features(store), id_col="page_id", html_col="html").collect():
+        items[r["page_id"]].append(r)
+    digests = list(refs.values())
+    for r in real.collect():
+        found = sorted(items[r["page_id"]], key=lambda x: x["position"])
+        assert [(x["position"], x["kind"], x["text"], x["ref"], x["caption"]) for x in found] == [(x["position"], x["kind"], x["text"], x["ref"], x["caption"]) for x in parse_sequence(r["html"])]
+        media = [x for x in found if x["kind"] == "media" and x["payload_bytes"]]
+        assert [(x["caption"], x["ref"]) for x in media] == [(f"for {r['page_id']}", SCHEME + digests[r["page_id"] % len(digests)])] * r["html"].count("<figure><figcaption>for ")
+        texts = " ".join(x["text"] for x in found if x["kind"] == "text")
+        assert re.sub(r"\s", "", re.search(r"<h1>(.*?)</h1>", r["html"], re.S)[1].replace("&amp;", "&"))[:40] in re.sub(r"\s", "", texts)
+
+
 def test_media_query(spark):
     got = {r["doc_id"]: r for r in queries.op6_media_columns(spark, DATA).collect()}
     for r in docs(spark).collect():
@@ -320,17 +347,60 @@ def test_sentencepiece(spark):
     assert len(rows) == 18 and all(r["ids"] == library.encode(r["decoded"]) for r in rows) and encode_documents(empty(spark), path).count() == 0
 
 
-def test_unigram_machine():
-    def piece(text, score, kind=1):
-        import struct
+def proto(number, value):
+    """A field of a protocol-buffer message."""
+    import struct
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    if isinstance(value, bytes):
+        return varint(number << 3 | 2) + varint(len(value)) + value
+    return varint(number << 3 | 5) + struct.pack("<f", value) if isinstance(value, float) else varint(number << 3) + varint(value)
+
+
+def unigram_model(pieces, rules=None, byte_fallback=False, prefix=True):
+    """A model file of pieces (text, score, type) and a public rule set's character map."""
+    sp = pytest.importorskip("sentencepiece")
+    out = b"".join(proto(1, proto(1, p.encode()) + proto(2, float(s)) + proto(3, t)) for p, s, t in pieces)
+    out += proto(2, proto(3, 1) + proto(35, int(byte_fallback)))
+    spec = proto(1, b"own") + proto(3, int(prefix)) + proto(4, 1) + proto(5, 1)
+    if rules:
+        from larkspur.llm.sentencepiece_fst import _fields
+
+        given = sp.SentencePieceNormalizer(rule_name=rules).serialized_model_proto()
+        spec += proto(2, dict(_fields(dict(_fields(given))[3]))[2])
+    return out + proto(3, spec)
 
-        body = bytes([10, len(text.encode())]) + text.encode() + b"\x15" + struct.pack("<f", score) + bytes([24, kind])
-        return bytes([10, len(body)]) + body
 
-    model = piece("<unk>", 0, 2) + piece("▁", -3) + piece("a", -2) + piece("b", -2) + piece("ab", -3) + piece("▁a", -1)
+def test_unigram_machine():
+    model = unigram_model([("<unk>", 0, 2), ("▁", -3, 1), ("a", -2, 1), ("b", -2, 1), ("ab", -3, 1), ("▁a", -1, 1)])
     assert Machine(model).encode("ab") == [5, 3]  # ▁a b costs 3, ▁ ab costs 6
 
 
+@pytest.mark.parametrize("rules,byte_fallback", [(None, False), ("nmt_nfkc", False), ("nfkc_cf", True), ("nmt_nfkc_cf", True)])
+def test_unigram_against_library(spark, rules, byte_fallback):
+    """Shortest paths over scored pieces, character maps, unknown characters and bytes: ids as the library's."""
+    sp = pytest.importorskip("sentencepiece")
+    rng = random.Random(12)
+    texts = [r["text"][:3000] for r in docs(spark).limit(60).collect()]
+    counts = collections.Counter()
+    for x in texts:
+        for word in x.split()[:80]:
+            word = "▁" + word
+            counts.update(word[i : i + n] for i in range(len(word)) for n in (2, 3, 4, 5) if "▁" not in word[i + 1 : i + n])
+    common = [p for p, n in counts.most_common(1500) if len(p) > 1]
+    letters = sorted(set("".join(common)) - {"é"})
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{i:02X}>", 0, 6) for i in range(256) if byte_fallback]
+    pieces += [(p, -rng.uniform(2, 12), 1) for p in dict.fromkeys([*letters, *common, "▁"])]
+    model = unigram_model(pieces, rules, byte_fallback)
+    machine, library = Machine(model), sp.SentencePieceProcessor(model_proto=model)
+    odd_texts = ["", " ", "ﬁne ①②  ｆｕｌｌ ｗｉｄｔｈ", "A\u0301B\u200b C\tD\n\nE", "日本語 😀😀 x", "é" * 5 + "e\u0301", "½ ™ Ⅷ ㌔", "a  b   c ", "\u00a0x\u3000y", "x" * 300]
+    for text in texts + odd_texts:
+        assert machine.encode(text) == library.encode(text), text[:80]
+        assert machine.decode(machine.encode(text)) == library.decode(machine.encode(text)).replace(" ⁇ ", "") or not byte_fallback
+
+
 def brute_leaks(text, item, run=4):
     """Coverage of an item: the longest common token run that uses free tokens only is marked, again and again."""
     x, y = (re.findall(r"\w+", z.lower()) for z in (text or "", item or ""))
@@ -487,7 +557,21 @@ def test_quality(spark):
     assert all(both[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in both)
     model = train(docs(spark), labels, id_col="doc_id", text_col="text", label_col="quality")
     assert all(0 <= r["score"] <= 1 for r in score_quality(odd(spark), model).collect()) and score_quality(empty(spark), model).count() == 0
-    assert train(empty(spark), labels, id_col="doc_id", text_col="text", label_col="quality").weights.any() is not True
+    none = train(empty(spark), labels, id_col="doc_id", text_col="text", label_col="quality")
+    assert not none.weights.any() and len({r["score"] for r in score_quality(odd(spark), none).collect()}) == 1
+    twice = train(docs(spark).union(docs(spark)), labels.union(labels), id_col="doc_id", text_col="text", label_col="quality")
+    assert (twice.weights == model.weights).all() and twice.offset == model.offset
+
+
+def test_class_prior():
+    import numpy as np
+
+    from larkspur.llm.quality_pu import estimate_prior
+
+    rng = np.random.default_rng(2)
+    for true in (0.2, 0.5, 0.9):  # margins of two normal classes, calibrated where both are equally frequent
+        x = np.concatenate([rng.normal(1.5, 1, int(20000 * true)), rng.normal(-1.5, 1, int(20000 * (1 - true)))])
+        assert abs(estimate_prior(1 / (1 + np.exp(-3 * x)), 0.5) - true) < 0.02
 
 
 def test_chat(spark):
@@ -503,6 +587,41 @@ def test_chat(spark):
     assert {t: r["branch_turn"] for t, r in one.items()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
     assert one[2]["body"] == "Thanks" and one[2]["n_quoted"] == 2 and one[2]["n_linked"] == 2 and one[3]["body"] == "What about this?"
     assert thread_conversations(df.limit(0)).count() == 0
+    odd_rows = spark.createDataFrame([("c", 1, "user", "Yes."), ("c", 2, "user", "No, wait. " * 3000), ("c", 3, "user", "> Yes.\nOk"), ("c", 4, "user", "> ...\n>> \n>"), ("c", 5, "user", "> no wait\n>\n> never said")], "conv_id string, turn int, role string, text string")
+    got = {r["turn"]: r for r in thread_conversations(odd_rows).collect()}
+    assert {t: (r["parent_turn"], r["n_quoted"], r["n_linked"]) for t, r in got.items()} == {1: (None, 0, 0), 2: (1, 0, 0), 3: (1, 1, 1), 4: (3, 3, 0), 5: (2, 1, 1)}
+
+
+def test_planted_quotes(spark):
+    """Replies quote rewrapped sentences of one earlier message, and what that one quoted, before or after their own text."""
+    import textwrap
+
+    rng = random.Random(11)
+    rows, want = [], {}
+    for c in range(6):
+        bodies, quoted = [], []
+        for t in range(25):
+            body = [" ".join(rng.choices(WORDS, k=rng.randrange(3, 15))).capitalize() + rng.choice(".!?") for _ in range(4)]
+            text, mine, src = "\n".join((" ".join(body[:2]), "", *body[2:])), [], None
+            if t and rng.random() < 0.8:
+                src = rng.randrange(t)
+                a = rng.randrange(4)
+                mine = textwrap.wrap(" ".join(bodies[src][a : a + 2]), rng.choice((25, 40, 200)))
+                quote = [f"> {x}" for x in mine] + [f">> {x}" for x in quoted[src][:3]]
+                text = "\n".join(("Bot wrote:", *quote, "", text) if rng.random() < 0.5 else (text, *quote))
+            bodies.append(body)
+            quoted.append(mine)
+            rows.append((c, t, rng.choice(("user", "assistant")), text))
+            want[c, t] = (src if src is not None else t - 1 if t else None, (src is not None) + (src is not None and bool(quoted[src])))
+    threads = thread_conversations(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))
+    got = {(r["conv_id"], r["turn"]): r for r in threads.collect()}
+    assert {k: (r["parent_turn"], r["n_quoted"]) for k, r in got.items()} == want and all(r["n_quoted"] == r["n_linked"] and ">" not in r["body"] for r in got.values())
+    from larkspur.llm.chat_quotes import assemble_conversations
+
+    parts = assemble_conversations(threads).collect()
+    placed = {(p["conv_id"], m["turn"]): (p["branch_turn"], p["part"], k) for p in parts for k, m in enumerate(p["messages"])}
+    assert len(placed) == len(rows) and all(placed[c, p] < placed[c, t] for (c, t), (p, _) in want.items() if p is not None)
+    assert all(p["chat"] == "".join(got[p["conv_id"], m["turn"]]["chat"] for m in p["messages"]) for p in parts)
 
 
 @pytest.mark.parametrize("turns", [3, 256])
