@@ -1,7 +1,12 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, decontamination, SentencePiece.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; stages are joined by written tables.  All but the last
-return the columns of documents.
+return the columns of documents, and any others that docs has.
+
+Odd tables: an empty one passes all stages.  Null and empty texts hold no language, so the first stage drops them; given
+one, the others keep it.  Rows that repeat an id are judged by their own texts, but share one place among near copies, so
+all of them stay or go there.  Rows with a null id stay there.  Ties are broken by the id.  Texts of any length are
+processed whole.
 """
 
 from __future__ import annotations

@@ -363,8 +363,13 @@ def cat_5_apply_labels(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for encoded files: the shared one if there is one."""
-    base = (spark.conf.get("spark.checkpoint.dir", "") or "").removeprefix("file://")
+    """A folder for encoded files: the shared one, which the encoder and the readers reach as a path."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if "://" in base and not base.startswith("file://"):
+        raise ValueError("the queries that encode tables need a shared folder that is mounted, not " + base)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base.removeprefix("file:").replace("//", "/", 1) if base.startswith("file:") else base
     if base:
         os.makedirs(base, exist_ok=True)
     return tempfile.mkdtemp(prefix="tables-", dir=base or None)
