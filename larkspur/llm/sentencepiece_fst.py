@@ -272,15 +272,15 @@ class Machine:
         out = []
         parts = self.normalise(text).split(SPACE)
         kept, compose, blanks = self.path, self._only_path, 0
-        path = lambda word: kept(word) if len(word) <= KEPT_CHARS else compose(word)
         for k, part in enumerate(parts):
             if k:
                 blanks += 1
             if part:
-                out.extend(path(SPACE * blanks + part))
+                word = SPACE * blanks + part
+                out.extend(kept(word) if len(word) <= KEPT_CHARS else compose(word))
                 blanks = 0
         if blanks:
-            out.extend(path(SPACE * blanks))
+            out.extend(compose(SPACE * blanks))
         return out
 
     def decode(self, ids: list[int]) -> str:
