@@ -369,7 +369,8 @@ def _scratch(spark: SparkSession) -> str:
         raise ValueError("the queries that encode tables need a shared folder that is mounted, not " + base)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base.removeprefix("file:").replace("//", "/", 1) if base.startswith("file:") else base
+    if base.startswith("file:"):
+        base = "/" + base.removeprefix("file:").lstrip("/")
     if base:
         os.makedirs(base, exist_ok=True)
     return tempfile.mkdtemp(prefix="tables-", dir=base or None)
