@@ -6,7 +6,8 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: White space of the contracts: blank and U+0009..U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -131,6 +134,19 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, to
     return left.join(hot, keys).unionByName(cold)
 
 
+_KEPT: dict = {}
+
+
+def keep(owner: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps for its next tasks, of one owner at a time: tables of stages that follow each other in
+    the same workers don't add up."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        gc.collect()  # a machine and its cache refer to each other
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
 def text_bytes(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, joined, and where each begins (one more entry than texts). Null: empty."""
     if isinstance(arr, pa.ChunkedArray):
@@ -181,8 +197,6 @@ class RangeHash:
     where the range lies.  Codes of bytes are random, so short ranges collide no more than random numbers do.
     """
 
-    _powers: dict = {}
-
     def __init__(self, data: np.ndarray, lane: int = 0):
         """data: bytes, or 64-bit codes of whatever the ranges are made of."""
         n = len(data)
@@ -193,15 +207,24 @@ class RangeHash:
 
     @classmethod
     def _tables(cls, lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if lane not in cls._powers or len(cls._powers[lane][0]) < n:
-            base = int(BASES[lane])
-            both = []
-            for x in (base, pow(base, -1, 1 << 64)):
-                steps = np.full(max(n, SLICE_BYTES + (1 << 17)), x, np.uint64)
-                steps[0] = 1
-                both.append(np.cumprod(steps, dtype=np.uint64))
-            cls._powers[lane] = tuple(both)
-        return cls._powers[lane]
+        """Powers of the base and of its inverse, n at least.  Those for a slice are kept; longer ones, for a text that is
+        a slice of its own, are made anew and let go."""
+        usual = SLICE_BYTES + (1 << 17)
+        kept = keep(cls, dict)
+        if n > usual:
+            return cls._make(lane, n)
+        if lane not in kept:
+            kept[lane] = cls._make(lane, usual)
+        return kept[lane]
+
+    @staticmethod
+    def _make(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        both = []
+        for x in (int(BASES[lane]), pow(int(BASES[lane]), -1, 1 << 64)):
+            steps = np.full(n, x, np.uint64)
+            steps[0] = 1
+            both.append(np.cumprod(steps, dtype=np.uint64, out=steps))
+        return both[0], both[1]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.prefix[end] - self.prefix[start]) * self.inverse[start]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import Workspace, mix64, slices, small_batches, text_bytes
+from larkspur.llm.common import Workspace, keep, mix64, slices, small_batches, text_bytes
 
 BINS = 1 << 14
 #: Trigrams of one text overlap: they count as this share of as many independent ones.
@@ -69,6 +69,7 @@ def _count(languages: list[str]):
         return pa.RecordBatch.from_arrays([pa.array(total // BINS, pa.int32()), pa.array(total % BINS, pa.int32()), pa.array(n, pa.int64())], names=["lang", "bin", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep(_count, dict)  # no other operator's tables stay in the worker
         at = {x: i for i, x in enumerate(languages)}
         dense = len(languages) <= DENSE
         total = np.zeros(len(languages) * BINS if dense else 0, np.int64)
@@ -143,6 +144,7 @@ def _likelihoods(model: _Model):
     """Adds _ll (tempered log-likelihood of each language, then of the background) and _grams to each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep(_count, dict)
         for batch in batches:
             for part in slices(batch, "_text"):
                 data, offs = text_bytes(part.column("_text"))

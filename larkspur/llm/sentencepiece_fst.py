@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import small_batches
+from larkspur.llm.common import keep, small_batches
 
 SPACE = "▁"
 #: Paths of distinct words, of up to KEPT_CHARS characters, and pairs of pieces that a worker keeps.
@@ -290,10 +290,9 @@ class Machine:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-@lru_cache(2)
 def _machine(model: bytes) -> Machine:
-    """One machine, with what it has learnt about words, for all tasks of a worker."""
-    return Machine(model)
+    """One machine, with what it has learnt about words, for all tasks of a worker that follow each other."""
+    return keep(("machine", model), lambda: Machine(model))
 
 
 def _code(shared):
