@@ -26,7 +26,7 @@ from larkspur.errors import InvalidMetadata, SelectionError, TableError, warn
 from larkspur.sources.catalog import read_catalog
 from larkspur.sources.decode import ColumnDecoder, rows_of_page
 from larkspur.sources.files import CATALOG_EXT, TABLE_EXT, discover, opener
-from larkspur.sources.layout import Layout, Variable, parse_header, read_layout, resolve_name, scan_heads, stated_rows
+from larkspur.sources.layout import Layout, Variable, meta_pages, parse_header, read_layout, resolve_name, stated_rows
 
 KIND_TYPES = {"character": T.StringType(), "double": T.DoubleType(), "date": T.DateType(), "datetime": T.TimestampType(), "time": T.DayTimeIntervalType()}
 PARTITION_BYTES, BATCH_ROWS = 64 << 20, 65_536
@@ -129,7 +129,7 @@ class TableReader(DataSourceReader):
         read, layout, pages = opener(partition.path), partition.layout, partition.pages
         if partition.planned:
             (low, high, first), pages = partition.pages[0], []
-            for i, n in stated_rows(layout, read, low, high):
+            for i, n in stated_rows(layout, read, range(low, high)):
                 n = min(n, layout.row_count - first)
                 if n > 0:
                     pages.append((i, n, first))
@@ -316,7 +316,7 @@ def read_table(spark: SparkSession, path: str | list[str], *, columns: list[str]
 def plan_pages(spark: SparkSession, path: str, page_count: int, step: int) -> dict:
     """meta: pages that hold metadata; ranges: (first page, end, first row).  Page headers are read by tasks.
 
-    The driver gets the numbers of pages that aren't plain data, and one row count for each range.
+    The driver gets the numbers of the pages with metadata, and one row count for each range.
     """
     slots = max(1, min(-(-page_count // step), 4 * spark.sparkContext.defaultParallelism))
     ranges = spark.range(0, page_count, step, slots)
@@ -325,20 +325,18 @@ def plan_pages(spark: SparkSession, path: str, page_count: int, step: int) -> di
         read = opener(path)
         h = parse_header(read, catalog=False)
         for batch in batches:
-            found = [i for a in batch.column("id").to_pylist() for i in scan_heads(h, read, a, a + step)[0]]
+            found = [i for a in batch.column("id").to_pylist() for i in meta_pages(h, read, a, a + step)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["page"])
 
-    others = sorted(r["page"] for r in ranges.mapInArrow(heads, "page long").collect())
-    layout = read_layout(opener(path), with_pages=False, only=others)
+    meta = sorted(r["page"] for r in ranges.mapInArrow(heads, "page long").collect())
+    layout = read_layout(opener(path), with_pages=False, only=meta)
     h = layout.header
-    # pages of row pointers hold no metadata: what is needed later is only where metadata stands
-    meta = others if layout.compression == "none" else others[: max(1, _last_meta(layout, path, others))]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = opener(path)
         for batch in batches:
             first = batch.column("id").to_pylist()
-            n = [sum(k for _, k in stated_rows(layout, read, a, a + step)) for a in first]
+            n = [sum(k for _, k in stated_rows(layout, read, range(a, a + step))) for a in first]
             yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["first", "n"])
 
     out, at = [], 0
@@ -349,20 +347,6 @@ def plan_pages(spark: SparkSession, path: str, page_count: int, step: int) -> di
     return {"meta": meta, "ranges": out}
 
 
-def _last_meta(layout: Layout, path: str, pages: list[int]) -> int:
-    """How many of these pages come up to the last one that adds to the metadata."""
-    read, whole = opener(path), [(v.name, v.label, v.format) for v in layout.variables]
-    low, high = 1, len(pages)
-    while low < high:
-        middle = (low + high) // 2
-        try:
-            found = [(v.name, v.label, v.format) for v in read_layout(read, with_pages=False, only=pages[:middle]).variables]
-        except TableError:
-            found = []
-        low, high = (low, middle) if found == whole else (middle + 1, high)
-    return low
-
-
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     register(spark)
     return spark.read.format("statcatalog").option("path", path).load()

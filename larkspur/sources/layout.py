@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 import struct
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from larkspur.errors import Corrupted, InvalidMetadata, Unsupported, warn
@@ -336,25 +337,29 @@ def meta_page(h: Header, read, i: int, io_mode: str) -> bytes:
     return bytes(page)
 
 
-def scan_heads(h: Header, read, first: int, end: int) -> tuple[list[int], list[int]]:
-    """Of pages first..end: those that may hold metadata or row pointers, and those with a data area only."""
-    meta, data = [], []
+def meta_pages(h: Header, read, first: int, end: int) -> list[int]:
+    """Of pages first..end: those with a subheader of metadata; pages of rows behind pointers aren't among them."""
+    found = []
     for i in range(first, min(end, h.page_count)):
         head = read(h.size + i * h.page_size, h.page_header)
         if len(head) < h.page_header:
             break
         kind, _, subheaders = struct.unpack_from(h.order + "3H", head, h.page_header - 8)
         name = page_kind(kind)
-        if name in ("comp", "comp_table", "unknown"):
+        if name in ("comp", "comp_table", "unknown") or name == "data" and not subheaders:
             continue
-        (data if name == "data" and not subheaders else meta).append(i)
-    return meta, data
+        page = read(h.size + i * h.page_size, h.page_size)
+        if any(p.compression == 0 and in_page(h, p) and p.length >= h.signature and _signature(h, page, p.offset) in SIGNATURES for p in page_parts(h, page)[2]):
+            found.append(i)
+    return found
 
 
-def stated_rows(layout: Layout, read, first: int, end: int) -> list[tuple[int, int]]:
-    """(page, rows) of the pages first..end that hold rows, as their own headers state."""
-    h, out = layout.header, []
-    for i in range(first, min(end, h.page_count)):
+def stated_rows(layout: Layout, read, pages: Iterable[int], io_mode: str = "full") -> Iterator[tuple[int, int]]:
+    """(page, rows) of those pages that hold rows, as their own headers state; one page is held at a time."""
+    h = layout.header
+    for i in pages:
+        if i >= h.page_count:
+            break
         head = read(h.size + i * h.page_size, h.page_header)
         if len(head) < h.page_header:
             break
@@ -362,12 +367,11 @@ def stated_rows(layout: Layout, read, first: int, end: int) -> list[tuple[int, i
         name = page_kind(kind)
         if name in ("comp", "comp_table", "unknown"):
             continue
-        page = head if name == "data" and not subheaders else read(h.size + i * h.page_size, h.page_size)
+        page = head if name == "data" and not subheaders else meta_page(h, read, i, io_mode)
         name, blocks, pointers = page_parts(h, page)
         n = page_rows(layout, name, blocks, page, pointers, layout.row_count)[1]
         if n > 0:
-            out.append((i, n))
-    return out
+            yield i, n
 
 
 def read_layout(read, *, with_pages: bool = True, io_mode: str = "auto", only: list[int] | None = None) -> Layout:
@@ -381,8 +385,8 @@ def read_layout(read, *, with_pages: bool = True, io_mode: str = "auto", only: l
     layout, text = Layout(h), _Text(h.codec)
     row_sizes, names, attrs, formats, n_columns = [], [], [], [], 0
     s = h.signature
-    scanned: list[tuple[int, bytes]] = []
-    for i in range(h.page_count) if only is None else only:
+    places = range(h.page_count) if only is None else only
+    for i in places:
         head = read(h.size + i * h.page_size, h.page_header)
         if len(head) < h.page_header:
             break
@@ -390,10 +394,8 @@ def read_layout(read, *, with_pages: bool = True, io_mode: str = "auto", only: l
         if kind in ("comp", "comp_table", "unknown"):
             continue
         if kind == "data" and not struct.unpack_from(h.order + "H", head, h.page_header - 4)[0]:
-            scanned.append((i, head))
             continue
         page = meta_page(h, read, i, io_mode)
-        scanned.append((i, page))
         _, _, pointers = page_parts(h, page)
         for p in pointers:
             if p.compression not in (0,) or not in_page(h, p) or p.length < s:
@@ -447,9 +449,8 @@ def read_layout(read, *, with_pages: bool = True, io_mode: str = "auto", only: l
         layout.variables.append(v)
     if with_pages:
         first = 0
-        for i, page in scanned:
-            name, blocks, pointers = page_parts(h, page)
-            n = page_rows(layout, name, blocks, page, pointers, layout.row_count - first)[1]
+        for i, n in stated_rows(layout, read, places, io_mode):  # pages are read again, as a file may be larger than memory
+            n = min(n, layout.row_count - first)
             if n > 0:
                 layout.pages.append((i, n, first))
                 first += n
