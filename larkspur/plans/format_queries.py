@@ -493,18 +493,13 @@ def dt_11_header_times(spark, d):
 @query("SELECT o_orderkey * 1.0::DOUBLE AS o_orderkey, epoch(o_orderdate) AS o_orderdate, CAST(NULL AS DOUBLE) AS gone, (o_orderkey % 1000) * 1.0::DOUBLE AS day FROM orders")
 def dt_12_unix_numbers(spark, d):
     """Dates and datetimes as numbers since 1970; a column of missing values only is a number."""
-    from larkspur.sources.encoder import write_table
+    from larkspur.sources.encoder import write_frame
     from larkspur.sources.reading import read_frame
 
-    rows = t(spark, d, "orders").select("o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("u")).collect()
+    seconds = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6 + S.EPOCH_SECONDS
+    df = t(spark, d, "orders").select(F.col("o_orderkey").cast("double"), seconds.alias("o_orderdate"), F.lit(None).cast("double").alias("gone"), (F.col("o_orderkey") % 1000 + S.EPOCH_DAYS).cast("double").alias("day"))
     path = os.path.join(_scratch(spark), "orders.sas7bdat")
-    write_table(
-        path,
-        [
-            ("o_orderkey", "num", 8, "", "", [float(k) for k, _ in rows]), ("o_orderdate", "num", 8, "DATETIME20.", "", [u / 1e6 + S.EPOCH_SECONDS for _, u in rows]),
-            ("gone", "num", 8, "DATE9.", "", [None] * len(rows)), ("day", "num", 8, "DATE9.", "", [float(k % 1000 + S.EPOCH_DAYS) for k, _ in rows]),
-        ],
-    )
+    write_frame(df, path, formats={"o_orderkey": "", "o_orderdate": "DATETIME20.", "gone": "DATE9.", "day": "DATE9."})
     return read_frame(spark, path, convert_datetimes=False)
 
 
