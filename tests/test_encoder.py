@@ -36,7 +36,7 @@ def gathered(spark, monkeypatch):
     return most
 
 
-@pytest.mark.parametrize("name", ["meta_6_column_names", "snk_8_csv_roundtrip", "src_18_rle", "dt_12_unix_numbers", "meta_8_result_attributes"])
+@pytest.mark.parametrize("name", ["meta_6_column_names", "snk_8_csv_roundtrip", "src_18_rle", "dt_12_unix_numbers", "meta_8_result_attributes", "src_19_rdc"])
 def test_rows_stay_in_tasks(spark, gathered, name):
     assert spark.read.parquet(f"{DATA}/orders.parquet").count() == 1500
     QUERIES[name](spark, DATA)
