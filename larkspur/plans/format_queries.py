@@ -32,7 +32,7 @@ def src_6_planned_pages(spark, d):
 
 @query("SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS _row_id FROM orders QUALIFY _row_id BETWEEN 40 AND 1239")
 def src_6_planned_window(spark, d):
-    return _read(spark, _encoded(spark, d, "orders", compression="rle"), columns=["o_orderkey", "o_totalprice"], pagesPerTask=1, rowId=True, skipRows=40, maxRows=1200)
+    return _read(spark, _encoded(spark, d, "orders", "o_orderkey", compression="rle"), columns=["o_orderkey", "o_totalprice"], pagesPerTask=1, rowId=True, skipRows=40, maxRows=1200)
 
 
 class _Lines:

@@ -36,7 +36,7 @@ def gathered(spark, monkeypatch):
     return most
 
 
-@pytest.mark.parametrize("name", ["meta_6_column_names", "snk_8_csv_roundtrip", "src_18_rle", "dt_12_unix_numbers", "meta_8_result_attributes", "src_19_rdc"])
+@pytest.mark.parametrize("name", ["meta_6_column_names", "snk_8_csv_roundtrip", "src_18_rle", "dt_12_unix_numbers", "meta_8_result_attributes", "src_19_rdc", "src_6_planned_window"])
 def test_rows_stay_in_tasks(spark, gathered, name):
     assert spark.read.parquet(f"{DATA}/orders.parquet").count() == 1500
     QUERIES[name](spark, DATA)
@@ -80,3 +80,10 @@ def test_pages_are_not_held(tmp_path, spark):
     tracemalloc.stop()
     assert sum(n for _, n, _ in layout.pages) == 4000 and peak < 2 << 20  # of 8 MB
     assert plan_pages(spark, path, parse_header(files.opener(path)).page_count, 3)["meta"] == [0]
+
+
+def test_window_of_unsorted_table(spark, tmp_path):
+    """The window's rows are those of the order of keys, however the table lies."""
+    spark.read.parquet(f"{DATA}/orders.parquet").orderBy(F.desc("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    got = [(r["o_orderkey"], r["_row_id"]) for r in QUERIES["src_6_planned_window"](spark, str(tmp_path)).orderBy("_row_id").collect()]
+    assert got == [(float(i), i) for i in range(40, 1240)]
