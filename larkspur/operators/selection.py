@@ -58,7 +58,11 @@ class RowSelection:
         return bool(self.indices) or any(self.names or ())
 
     def window(self, df: DataFrame, order: list[str | Column]) -> DataFrame:
-        """Rows skip..skip+limit of the order; a projection is an error here."""
+        """Rows skip..skip+limit of the order; a projection is an error here.
+
+        Which of several equal rows are taken is left open, unless the order names the rows' places too
+        (of files: `_metadata.file_path` and `_metadata.row_index`).
+        """
         if self.projects:
             raise SelectionError("a window takes no projection; use apply")
         return self._cut(df, order)

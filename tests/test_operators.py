@@ -13,11 +13,13 @@ from larkspur.errors import SelectionError
 from larkspur.functions import scalars as S
 from larkspur.operators.selection import RowSelection, select_columns, select_names
 from larkspur.plans.convert import convert
+from larkspur.plans.queries import QUERIES
 from larkspur.sources.datasource import read_table
 from larkspur.sources.encoder import write_table
 from larkspur.sources.metadata import table_columns, table_metadata, table_pages, table_pointers
 from larkspur.sources.sinks import plan_outputs, row_group_rows, write_csv, write_parquet
 from larkspur.sources.sinks import write_table as write_kind
+from tests.conftest import DATA
 
 
 def one(spark, expr):
@@ -86,3 +88,16 @@ def test_convert_and_cli(spark, tmp_path, capsys):
     assert table_pages(spark, path).agg(F.sum("rows")).first()[0] == 3 and table_pointers(spark, path).filter("not inside").count() == 0
     df = read_table(spark, path, missingTags=True, sourcePath=True)
     assert df.schema["X"].metadata["label"] == "lab" and [r["X__missing"] for r in df.collect()] == [None, ".", None]
+
+
+def test_window_ties(spark, tmp_path):
+    """Of rows with equal keys, those that lie first are taken, though the second file is the larger one and is read first."""
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").limit(1).drop("l_orderkey", "l_linenumber", "l_partkey")
+    for name, low, high in (("a", 0, 600), ("b", 600, 3000)):
+        keys = spark.range(low, high, 1, 1).select(F.lit(1).cast("bigint").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey"))
+        keys.crossJoin(rows).coalesce(1).sortWithinPartitions("l_partkey").write.parquet(str(tmp_path / name))
+        part = next(f for f in os.listdir(tmp_path / name) if f.endswith(".parquet"))
+        os.makedirs(tmp_path / "lineitem.parquet", exist_ok=True)
+        os.rename(tmp_path / name / part, tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    got = QUERIES["lim_3_window"](spark, str(tmp_path))
+    assert "_metadata" not in got.columns and sorted(r["l_partkey"] for r in got.collect()) == list(range(333, 1333))
