@@ -12,6 +12,8 @@ EPOCH_DAYS, EPOCH_SECONDS = 3653, 315_619_200
 SAFE_INT = 9_007_199_254_740_992
 MAX_LONG = 9.223372036854775807e18
 MIN_DAY, MAX_DAY = -719_162, 2_932_896
+#: Last day that a date of Spark and of DuckDB holds, and the first one negated, from 1970.
+LAST_DAY = 2_147_483_646
 
 
 def bind(c: Column, f) -> Column:
@@ -168,10 +170,15 @@ def bits_tag(bits: Column) -> Column:
 # --- dates and times ----------------------------------------------------------------------------------------------
 
 
-def days_to_date(days: Column) -> Column:
-    """Days since 1960 as date, the fraction floored; out of the years 1 to 9999: null."""
-    d = F.floor(F.when(days.between(-1e7, 1e7), days)) - EPOCH_DAYS
-    return F.date_from_unix_date(F.when(d.between(MIN_DAY, MAX_DAY), d).cast("int"))
+def days_to_date(days: Column, any_year: bool = False) -> Column:
+    """Days since 1960 as date, the fraction floored; out of the years 1 to 9999: null.
+
+    any_year: null only where a date can't hold the day.  Python has no dates beyond those years, so such rows can be
+    written and computed with, but not collected.
+    """
+    low, high = (-LAST_DAY, LAST_DAY) if any_year else (MIN_DAY, MAX_DAY)
+    d = F.floor(F.when(days.between(-1e10, 1e10), days)) - EPOCH_DAYS
+    return F.date_from_unix_date(F.when(d.between(low, high), d).cast("int"))
 
 
 def _micros(seconds: Column) -> Column:

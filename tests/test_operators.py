@@ -101,3 +101,13 @@ def test_window_ties(spark, tmp_path):
         os.rename(tmp_path / name / part, tmp_path / "lineitem.parquet" / f"{name}.parquet")
     got = QUERIES["lim_3_window"](spark, str(tmp_path))
     assert "_metadata" not in got.columns and sorted(r["l_partkey"] for r in got.collect()) == list(range(333, 1333))
+
+
+def test_days_of_any_year(spark, tmp_path):
+    keys = [0, 79_000, 119_999, 1_199_999, 50_000_000]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    days = QUERIES["dt_1_days"](spark, str(tmp_path)).select("p_partkey", F.unix_date("x").alias("n")).orderBy("p_partkey").collect()
+    assert [r["n"] for r in days] == [37 * k - S.EPOCH_DAYS for k in keys]
+    day = lambda x: one(spark, F.unix_date(S.days_to_date(F.lit(x), any_year=True)))
+    assert [day(x) for x in (2147487299.0, 2147487300.0, -2147479993.0, -2147479994.0, float("nan"), float("inf"))] == [2147483646, None, -2147483646, None, None, None]
+    assert one(spark, F.unix_date(S.days_to_date(F.lit(2936550.0)))) is None and one(spark, F.unix_date(S.days_to_date(F.lit(2936549.0)))) == 2932896
