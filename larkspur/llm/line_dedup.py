@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import LOWER, UPPER, WHITE, Workspace, doc_key, hot_join, id_type
 
-#: Parts in which one table is fed to the index, runs of a level that are merged, buckets of a run.
+#: Parts in which one table is fed to the index, runs of a level that are merged, rows of all batches for each bucket of a run.
 BATCHES = 4
 FANOUT = 2
+BUCKET_ROWS = 1 << 18
 
 
 def line_key(line: Column) -> Column:
@@ -33,6 +34,19 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def bucket_count(spark: SparkSession, rows: int) -> int:
+    """Buckets of the runs of an index that takes so many rows.
+
+    Each bucket is a file of each run, and where Hadoop lacks its native library a file costs its writer two processes
+    (chmod), which share all memory of the executor until they start.  So buckets follow the rows, not the session's
+    shuffle partitions, unless the session keeps Spark from coalescing these.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") != "true":
+        return partitions
+    return max(-(-rows // BUCKET_ROWS), min(partitions, spark.sparkContext.defaultParallelism))
+
+
 class LineRuns:
     """Levelled sorted runs with columns h1, h2, n_docs, max_doc, fresh (this run is the key's home)."""
 
@@ -61,6 +75,7 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """lines: h1, h2, doc_id, one row for each line key and document.  A document belongs to one batch."""
         batch = lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        batch = batch.repartition(self.buckets, "h1", "h2")  # as the runs lie
         fresh = F.lit(True)
         for name in self._runs():  # a key has its home in one run at most
             run = self.spark.table(name).filter("fresh").select("h1", "h2", F.lit(False).alias(f"_{name}"))
@@ -155,7 +170,7 @@ def dedup_lines(
         .select(*key, "l.at", F.xxhash64("l.k").alias("h1"), F.xxhash64(F.lit(7), "l.k").alias("h2"), F.pmod(F.xxhash64("_d"), F.lit(batches)).cast("int").alias("batch")),
         partition_by="batch",
     )
-    runs = LineRuns(spark, workspace, id_kind=id_type(docs, id_col))
+    runs = LineRuns(spark, workspace, buckets=bucket_count(spark, lines.count()), id_kind=id_type(docs, id_col))
     for batch in range(batches):
         runs.add(lines.filter(F.col("batch") == batch).select("h1", "h2", F.col("_d").alias("doc_id")).distinct())
     common = workspace.store(runs.state(min_docs).select("h1", "h2", "n_docs", "max_doc"))

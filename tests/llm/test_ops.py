@@ -117,6 +117,27 @@ def test_line_runs(spark):
     assert [len(x) for x in runs.levels] == [1, 1]
 
 
+def test_line_runs_have_few_files(spark, monkeypatch):
+    """A run of few rows has no file for each shuffle partition; the rows are the same."""
+    written, write = [], LineRuns._write
+
+    def watched(self, df):
+        name = write(self, df)
+        written.append(len(self.spark.table(name).inputFiles()))
+        return name
+
+    df = docs(spark)
+    want = sorted(map(tuple, dedup_lines(df).collect()))
+    monkeypatch.setattr(LineRuns, "_write", watched)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = dedup_lines(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(tuple, got)) == want
+    assert len(written) == 7 and max(written) <= spark.sparkContext.defaultParallelism
+
+
 def brute_near(rows, k, share):
     sets, parent = {}, {}
     for i, text in rows:
