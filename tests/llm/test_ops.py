@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import queries
+from larkspur.llm import queries, sentencepiece_fst
 from larkspur.llm.chat_quotes import thread_conversations
 from larkspur.llm.common import Workspace
 from larkspur.llm.decontaminate import drop_leaks, find_leaks
@@ -368,6 +368,59 @@ def test_sentencepiece(spark):
     assert len(rows) == 18 and all(r["ids"] == library.encode(r["decoded"]) for r in rows) and encode_documents(empty(spark), path).count() == 0
 
 
+def test_sentencepiece_units(spark, monkeypatch):
+    """What repeats between characters that no piece joins is composed once, whatever stands beside it."""
+
+    class Counting(Machine):
+        composed = 0
+
+        def _only_path(self, word):
+            self.composed += 1
+            return super()._only_path(word)
+
+    machine = Counting(open(queries.piece_model(), "rb").read())
+    texts = [f"{a}\n{b}" for a in WORDS[:40] for b in WORDS[:40]]
+    assert len(set(texts)) == 1600
+    for text in texts:
+        assert machine.decode(machine.encode(text)) == text
+    assert machine.composed <= 2 * 40 + 1
+
+    sp = pytest.importorskip("sentencepiece")
+    library = sp.SentencePieceProcessor(model_file=queries.piece_model())
+    monkeypatch.setattr(sentencepiece_fst, "CHUNK", 50)
+    monkeypatch.setattr(sentencepiece_fst, "KEPT_UNITS", 20)
+    monkeypatch.setattr(sentencepiece_fst, "KEPT_PAIRS", 20)
+    texts = [r["text"] for r in docs(spark).limit(30).collect()] + ["", " ", "", "a" * 300, "日本語 😀 \u2581", " " * 120 + "x", "\x00\n\n é​", ""]
+    ids, offs = machine.encode_all(texts)
+    data, begins = machine.decode_all(ids, offs)
+    for k, text in enumerate(texts):
+        assert ids[offs[k] : offs[k + 1]].tolist() == library.encode(text)
+        assert data[begins[k] : begins[k + 1]].tobytes().decode() == text.replace("▁", " ")
+
+
+def test_sentencepiece_pairs():
+    """The pair acceptor against merging the joined characters, among scores that repeat and pieces that no merges make."""
+    rng = random.Random(5)
+    for _ in range(20):
+        pieces = dict.fromkeys(["a", "b", "c", *("".join(rng.choices("abc", k=rng.randrange(2, 6))) for _ in range(25))])
+        model = b"".join(proto(1, proto(1, p.encode()) + proto(2, -float(rng.randrange(12))) + proto(3, 1)) for p in pieces) + proto(2, proto(3, 2))
+        machine = Machine(model)
+
+        def merged(symbols):
+            while found := [(-machine.scores[machine.arcs[x + y]], i) for i, (x, y) in enumerate(zip(symbols, symbols[1:], strict=False)) if x + y in machine.arcs]:
+                i = min(found)[1]
+                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            return symbols
+
+        for a, i in machine.arcs.items():
+            for b, j in machine.arcs.items():
+                assert machine._together(i, j) == (merged(list(a + b)) == [a, b]), (a, b)
+        for _ in range(40):
+            text = "".join(rng.choices("abcx", weights=(3, 3, 3, 1), k=30))
+            assert machine._only_path(text) == [machine.arcs.get(x, machine.unknown) for x in merged(list(text))]
+            assert machine.encode(text)[1:] == machine._only_path(text)
+
+
 def proto(number, value):
     """A field of a protocol-buffer message."""
     import struct
